@@ -45,8 +45,9 @@ def maintenance_window(r: DataFrame, cfg: TrafficConfig, hours: int = 4, n: int
     """
     h = r.groupBy("hour_of_day").agg(F.avg("traffic_count").alias("_avg"))
     if wrap:
-        # Append the first hours again after the last one, then keep the originals.
-        nxt = h.filter(F.col("hour_of_day") < hours - 1).select(
+        # Append the first ``hours - 1`` hour rows again after the last one (<= 24 rows).
+        first = F.row_number().over(Window.orderBy("hour_of_day"))
+        nxt = h.select("*", first.alias("_rn")).filter(F.col("_rn") < hours).select(
             (F.col("hour_of_day") + 24).alias("hour_of_day"), "_avg")
         h = h.unionByName(nxt)
     w = Window.orderBy("hour_of_day").rowsBetween(Window.currentRow, hours - 1)

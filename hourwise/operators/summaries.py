@@ -20,13 +20,9 @@ from hourwise.functions.columns import (
     avg1, field_position, growth_pct, hour_label, label_if, pct, std1, sum_long, text_bar,
 )
 
-# A window over the handful of rows of a grouped result (never over raw readings).
-ALL_GROUPS = Window.partitionBy()
-
-
 def grand(c: str | Column) -> Column:
-    """Total of a column over all rows of a small grouped result."""
-    return F.sum(c).over(ALL_GROUPS)
+    """Total of a column over all rows of a small grouped result (never raw readings)."""
+    return F.sum(c).over(Window.partitionBy())
 
 
 def month_keys(cfg: TrafficConfig) -> list[str]:

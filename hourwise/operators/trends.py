@@ -16,7 +16,9 @@ from hourwise.config import TrafficConfig
 from hourwise.functions.columns import growth_pct, pct, sum_long
 from hourwise.operators.summaries import month_keys
 
-BY_DAY = Window.orderBy("traffic_date")
+
+def by_day() -> Window:
+    return Window.orderBy("traffic_date")
 
 
 def daily_sums(r: DataFrame, *keys: str) -> DataFrame:
@@ -27,7 +29,7 @@ def daily_sums(r: DataFrame, *keys: str) -> DataFrame:
 # Q7 ---------------------------------------------------------------------------------------
 def rolling_7day_avg(r: DataFrame, cfg: TrafficConfig, days: int = 7) -> DataFrame:
     d = daily_sums(r, "day_name")
-    w = BY_DAY.rowsBetween(-(days - 1), Window.currentRow)
+    w = by_day().rowsBetween(-(days - 1), Window.currentRow)
     return d.select(
         "traffic_date", "day_name", "daily_total",
         F.round(F.avg("daily_total").over(w), 1).alias(f"rolling_{days}day_avg"),
@@ -57,7 +59,7 @@ def cumulative_total(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     taken from the same one-row-per-day window (no second scan).
     """
     d = daily_sums(r)
-    running = F.sum("daily_total").over(BY_DAY.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    running = F.sum("daily_total").over(by_day().rowsBetween(Window.unboundedPreceding, Window.currentRow))
     total = (F.lit(cfg.grand_total) if cfg.grand_total is not None
              else F.sum("daily_total").over(Window.partitionBy()))
     return d.select(
@@ -69,7 +71,7 @@ def cumulative_total(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
 # Q15 --------------------------------------------------------------------------------------
 def day_over_day(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     d = daily_sums(r, "day_name")
-    prev = F.lag("daily_total", 1).over(BY_DAY)
+    prev = F.lag("daily_total", 1).over(by_day())
     return d.select(
         "traffic_date", "day_name", "daily_total",
         prev.alias("prev_day_total"),

@@ -151,9 +151,11 @@ def ntile_top(df: DataFrame, k: int, order_col: str, tiebreak: str, n: int, out:
     total = df.agg(F.count(F.lit(1))).scalar()
     desc = [F.desc(order_col), F.desc(tiebreak)]
     top = df.orderBy(*desc).limit(n)
-    pos = F.row_number().over(Window.orderBy(*desc))  # over the n selected rows only
-    rn = total - pos + 1
-    return top.withColumn(out, ntile_of(rn, total, k))
+    # Window over the n selected rows only; position and count become columns once.
+    ranked = top.select("*", F.row_number().over(Window.orderBy(*desc)).alias("_hw_pos"),
+                        total.alias("_hw_total"))
+    rn = F.col("_hw_total") - F.col("_hw_pos") + 1
+    return ranked.withColumn(out, ntile_of(rn, F.col("_hw_total"), k)).drop("_hw_pos", "_hw_total")
 
 
 def moving_head(df: DataFrame, keys: Sequence[str | Column], value: str, before: int, after: int,
