@@ -1,0 +1,220 @@
+"""Shared rollup: scan the readings once, answer the aggregate sections from cells.
+
+Almost every aggregate of the analysis (counts, sums, means, extremes, population
+std-dev, spike counts, distinct days) is a function of per-cell partial aggregates, where
+a cell is ``(traffic_date, hour_of_day, traffic_category)``; the calendar columns are
+functions of the date and the hour.  So instead of one scan per section:
+
+1. :func:`build_cells` reduces the readings to at most ``days x 24 x 4`` cells (partial
+   aggregation in every task, so a hot day or hour never concentrates raw rows), keeping
+   ``n, total, lo, hi, spikes, first/last time`` and ``m2`` (the cell's sum of squared
+   deviations from its own mean, from Spark's stable ``var_pop``).
+2. :func:`materialize` writes the cells once to the shared checkpoint folder.
+3. The section functions below aggregate cells.  Means are ``sum / n`` (never a mean of
+   means); the std-dev of a group combines cells with the parallel-variance formula
+   ``M2 = sum(m2_i) + sum(n_i * (mean_i - mean)^2)``, numerically stable and free of the
+   ``n * sum(x^2)`` overflow a naive formula has at scale.
+
+Raw readings stay necessary for row-level outputs (spike lists, hourly detail, NTILE,
+moving averages).
+"""
+
+from __future__ import annotations
+
+import statistics
+import time
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from hourwise.config import CATEGORY_ORDER, TrafficConfig
+from hourwise.functions.calendar import calendar_columns
+from hourwise.functions.columns import field_position, hour_label, label_if, pct, sum_long
+from hourwise.operators.summaries import grand
+from hourwise.session import checkpoint_dir
+
+CELL_KEYS = ("traffic_date", "hour_of_day", "traffic_category")
+
+
+def build_cells(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
+    """Per-cell partial aggregates plus the calendar columns of the cell."""
+    cells = r.groupBy(*CELL_KEYS).agg(
+        F.count(F.lit(1)).alias("n"),
+        sum_long("traffic_count").alias("total"),
+        F.min("traffic_count").alias("lo"),
+        F.max("traffic_count").alias("hi"),
+        sum_long("is_spike").alias("spikes"),
+        F.min("traffic_time").alias("first_time"),
+        F.max("traffic_time").alias("last_time"),
+        (F.var_pop("traffic_count") * F.count(F.lit(1))).alias("m2"),
+    )
+    # Calendar columns are functions of (date, hour): compute them on cells, not readings.
+    stamp = F.make_timestamp_ntz(F.year("traffic_date"), F.month("traffic_date"), F.dayofmonth("traffic_date"),
+                                 F.col("hour_of_day"), F.lit(0), F.lit(0))
+    cal = calendar_columns(stamp, cfg)
+    extra = {k: v for k, v in cal.items() if k not in ("traffic_date", "hour_of_day")}
+    return cells.select("*", *[c.alias(k) for k, c in extra.items()])
+
+
+def materialize(cells: DataFrame) -> DataFrame:
+    """Write the cells once to the shared checkpoint folder and read them back."""
+    spark = cells.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/hourwise-cells-{uuid.uuid4().hex}"
+    cells.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+# Aggregates over cells -------------------------------------------------------------------
+def n() -> Column:
+    return F.sum("n")
+
+
+def total() -> Column:
+    return F.sum("total")
+
+
+def mean() -> Column:
+    return F.sum("total") / F.sum("n")
+
+
+def with_std(cells: DataFrame, keys: Sequence[str], out: str = "_std") -> DataFrame:
+    """Group std-dev (population) of ``keys``-groups of cells, as a per-group table."""
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    gmean = F.sum("total").over(w) / F.sum("n").over(w)
+    dev = cells.select(*keys, "n", "m2", ((F.col("total") / F.col("n")) - gmean).alias("_d"))
+    return dev.groupBy(*keys).agg(
+        F.sqrt((F.sum("m2") + F.sum(F.col("n") * F.col("_d") * F.col("_d"))) / F.sum("n")).alias(out))
+
+
+# Sections --------------------------------------------------------------------------------
+def overview(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
+    base = cells.agg(
+        n().alias("total_records"),
+        F.min("first_time").alias("data_starts"),
+        F.max("last_time").alias("data_ends"),
+        F.datediff(F.max("last_time"), F.min("first_time")).alias("span_days"),
+        total().alias("total_traffic"),
+        F.round(mean(), 1).alias("avg_hourly_traffic"),
+        F.min("lo").alias("min_traffic"),
+        F.max("hi").alias("max_traffic"),
+    )
+    return base.crossJoin(with_std(cells, []).select(F.round("_std", 1).alias("std_deviation")))
+
+
+def category_distribution(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
+    g = cells.groupBy("traffic_category").agg(
+        n().alias("record_count"), total().alias("total_traffic"),
+        F.round(mean(), 1).alias("avg_traffic"), F.min("lo").alias("min_traffic"), F.max("hi").alias("max_traffic"))
+    return g.select("traffic_category", "record_count", pct("record_count", grand("record_count")).alias("pct_of_records"),
+                    "total_traffic", "avg_traffic", "min_traffic", "max_traffic").orderBy(
+        field_position("traffic_category", CATEGORY_ORDER))
+
+
+def hourly_pattern_view(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
+    keys = ["hour_of_day", "is_business_hr"]
+    g = cells.groupBy(*keys).agg(n().alias("observations"), F.round(mean(), 1).alias("avg_traffic"),
+                                 F.max("hi").alias("max_traffic"), F.min("lo").alias("min_traffic"))
+    s = with_std(cells, keys)
+    return g.join(s, keys).select(
+        "hour_of_day", hour_label("hour_of_day", named=False).alias("hour_label"), "is_business_hr", "observations",
+        "avg_traffic", "max_traffic", "min_traffic", F.round("_std", 1).alias("std_dev_traffic"),
+    ).orderBy(*keys)
+
+
+def daily_summary(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
+    return cells.groupBy("traffic_date", "day_name", "month_name", "traffic_week", "is_weekend").agg(
+        n().alias("hourly_readings"), total().alias("daily_total"), F.round(mean(), 1).alias("avg_per_hour"),
+        F.max("hi").alias("peak_hour"), F.min("lo").alias("slowest_hour"), F.sum("spikes").alias("spike_hours"))
+
+
+def monthly_kpi(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
+    return cells.groupBy("traffic_year", "traffic_month", "month_name").agg(
+        n().alias("hourly_readings"), total().alias("total_traffic"), F.round(mean(), 1).alias("avg_hourly_traffic"),
+        F.max("hi").alias("peak_traffic"), F.min("lo").alias("min_traffic"), F.sum("spikes").alias("spike_count"),
+        F.countDistinct("traffic_date").alias("active_days"),
+    ).orderBy("traffic_year", "traffic_month")
+
+
+def weekday_weekend(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
+    g = cells.groupBy("is_weekend").agg(n().alias("hourly_readings"), F.round(mean(), 1).alias("avg_hourly_traffic"),
+                                        total().alias("total_traffic"), F.max("hi").alias("peak_traffic"))
+    return g.select(label_if(F.col("is_weekend") == 0, "Weekday", "Weekend").alias("day_type"), "hourly_readings",
+                    "avg_hourly_traffic", "total_traffic", "peak_traffic",
+                    pct("total_traffic", grand("total_traffic")).alias("pct_of_total_traffic")).orderBy("day_type")
+
+
+def consistency_score(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
+    g = cells.groupBy("hour_of_day").agg(mean().alias("_avg"))
+    s = with_std(cells, ["hour_of_day"])
+    cv = F.try_divide(F.col("_std"), F.col("_avg"))
+    band = F.when(cv < 0.5, F.lit("Predictable")).when(cv < 1.0, F.lit("Moderate")).otherwise(F.lit("Volatile"))
+    return g.join(s, "hour_of_day").select(
+        "hour_of_day", F.round("_avg", 1).alias("avg_traffic"), F.round("_std", 1).alias("std_dev"),
+        F.round(cv * 100, 1).alias("coefficient_of_variation"), band.alias("traffic_stability"),
+    ).orderBy(F.asc_nulls_first("coefficient_of_variation"), "hour_of_day")
+
+
+def day_totals_ranked(cells: DataFrame, cfg: TrafficConfig, k: int = 10, highest: bool = True) -> DataFrame:
+    d = cells.groupBy("traffic_date", "day_name").agg(total().alias("daily_total"))
+    return d.orderBy(F.desc("daily_total") if highest else F.asc("daily_total"), "traffic_date").limit(k)
+
+
+SECTIONS = {
+    "dataset_overview": overview,
+    "category_distribution": category_distribution,
+    "vw_hourly_pattern": hourly_pattern_view,
+    "vw_daily_summary": daily_summary,
+    "vw_monthly_kpi": monthly_kpi,
+    "weekday_weekend": weekday_weekend,
+    "insight_consistency": consistency_score,
+    "exec_top_days": lambda c, cfg: day_totals_ranked(c, cfg, 10, True),
+    "exec_low_days": lambda c, cfg: day_totals_ranked(c, cfg, 10, False),
+}
+
+
+def direct_sections() -> dict:
+    """The direct (one scan per section) operators matching :data:`SECTIONS`."""
+    from hourwise.operators import insights, summaries
+    from hourwise.plans import reports, views
+
+    return {
+        "dataset_overview": summaries.dataset_overview,
+        "category_distribution": summaries.category_distribution,
+        "vw_hourly_pattern": views.hourly_pattern_sorted,
+        "vw_daily_summary": views.daily_summary,
+        "vw_monthly_kpi": views.monthly_kpi_sorted,
+        "weekday_weekend": summaries.weekday_weekend,
+        "insight_consistency": insights.consistency_score,
+        "exec_top_days": lambda r, cfg: reports.day_totals_ranked(r, cfg, 10, True),
+        "exec_low_days": lambda r, cfg: reports.day_totals_ranked(r, cfg, 10, False),
+    }
+
+
+def bench_direct_vs_rollup(spark: SparkSession, sf_dir: str, runs: int = 3) -> dict[str, float]:
+    """Seconds for the rollup-able sections on the events fixture: one scan per section
+    (direct) vs one scan into a materialised cell table shared by all sections."""
+    from hourwise.config import EVENTS
+    from hourwise.plans.catalog import enriched_readings
+
+    def direct() -> None:
+        r = enriched_readings(spark, sf_dir, "E")
+        for fn in direct_sections().values():
+            fn(r, EVENTS).write.format("noop").mode("overwrite").save()
+
+    def shared() -> None:
+        cells = materialize(build_cells(enriched_readings(spark, sf_dir, "E"), EVENTS))
+        for fn in SECTIONS.values():
+            fn(cells, EVENTS).write.format("noop").mode("overwrite").save()
+
+    out = {}
+    for name, fn in (("sections_direct_sec", direct), ("sections_rollup_sec", shared)):
+        fn()
+        times = []
+        for _ in range(runs):
+            t0 = time.perf_counter()
+            fn()
+            times.append(time.perf_counter() - t0)
+        out[name] = round(statistics.median(times), 4)
+    return out
