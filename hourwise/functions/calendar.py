@@ -12,7 +12,7 @@ from hourwise.functions.columns import col, flag
 def calendar_columns(t: str | Column, cfg: TrafficConfig) -> dict[str, Column]:
     """The ten calendar columns derived from the reading time, in table order.
 
-    ``traffic_week`` is the ISO-8601 week (MySQL ``WEEK(t, 3)``); ``iso_year`` is the
+    ``traffic_week`` is the ISO-8601 week (mode-3 week of the original); ``iso_year`` is the
     year that week belongs to (2021-01-01 is week 53 of ISO year 2020), so grouping by
     ``(iso_year, traffic_week)`` never merges the two ends of a year.  Day names and
     month names are the full English names; ``day_of_week`` is 1 = Sunday .. 7 = Saturday.

@@ -17,7 +17,7 @@ def col(c: str | Column) -> Column:
 
 
 def ratio(num: str | Column, den: str | Column) -> Column:
-    """``num / den`` with NULL for a zero or NULL divisor (MySQL semantics; ANSI Spark raises)."""
+    """``num / den`` with NULL for a zero or NULL divisor (as in the original; ANSI Spark would raise)."""
     return F.try_divide(col(num), col(den))
 
 
@@ -37,7 +37,7 @@ def avg1(c: str | Column = "traffic_count") -> Column:
 
 
 def std1(c: str | Column = "traffic_count") -> Column:
-    """``ROUND(STD(c), 1)``: MySQL ``STD`` is the population standard deviation."""
+    """``ROUND(STD(c), 1)``: the original's ``STD`` is the population standard deviation."""
     return F.round(F.stddev_pop(col(c)), 1)
 
 

@@ -84,6 +84,19 @@ def _x2(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     return _moving_cols(mv)
 
 
+def _load_csv(b: DataFrame, cfg: TrafficConfig) -> DataFrame:
+    """CSV source round trip: export the readings in the original CSV layout to the shared
+    checkpoint folder, then import them (typed schema, ``n.0`` counts, surrogate key)."""
+    import uuid
+
+    from hourwise.session import checkpoint_dir
+
+    spark = b.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/hourwise-csv-{uuid.uuid4().hex}"
+    src.write_csv(b, path)
+    return src.read_csv(spark, path)
+
+
 def _enriched_preview(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     return r.orderBy("traffic_time", "record_id").limit(8).select(
         "traffic_time", "traffic_count", "month_name", "day_name",
@@ -94,6 +107,7 @@ def _specs() -> list[QuerySpec]:
     d = DAILY_REPORT_DAY
     return [
         # Sources, load checks, enrichment
+        QuerySpec("load_csv", "E", _load_csv, on="base"),
         QuerySpec("readings", "E", lambda b, c: b.select(*src.READINGS_SCHEMA.names), on="base"),
         QuerySpec("load_count", "E", lambda b, c: src.count_readings(b, c.expected_rows), on="base"),
         QuerySpec("preview_first10", "E", lambda b, c: src.preview(b, 10), on="base"),

@@ -77,11 +77,17 @@ def day_hours(r: DataFrame, cfg: TrafficConfig, day: dt.date | str) -> DataFrame
     )
 
 
+# Audit entries written by the reports, fixed values ({} = the report date):
+DAILY_LOG_NAME = "sp_daily_report({})"
+DAILY_LOG_FINDING = "Report generated for {}"
+EXEC_LOG_ENTRY = ("sp_executive_report", "Full report generated")
+
+
 def daily_report(r: DataFrame, cfg: TrafficConfig, day: dt.date | str) -> Report:
     d = day if isinstance(day, dt.date) else dt.date.fromisoformat(day)
     return Report(
         {"summary": day_summary(r, cfg, d), "hours": day_hours(r, cfg, d)},
-        [(f"sp_daily_report({d.isoformat()})", f"Report generated for {d.isoformat()}")],
+        [(DAILY_LOG_NAME.format(d.isoformat()), DAILY_LOG_FINDING.format(d.isoformat()))],
     )
 
 
@@ -161,8 +167,8 @@ EXEC_TITLES = (
 def executive_report(r: DataFrame, cfg: TrafficConfig) -> Report:
     """All KPIs in eight titled sections (each an independent lazy DataFrame over ``r``).
 
-    To answer the aggregate sections from one scan, pass the readings through
-    :func:`hourwise.plans.rollup.persist_readings` first or use the rollup forms.
+    To answer the aggregate sections from one scan, use the cell-table forms in
+    :mod:`hourwise.plans.rollup`.
     """
     sections = [
         overview_short(r, cfg),
@@ -174,4 +180,4 @@ def executive_report(r: DataFrame, cfg: TrafficConfig) -> Report:
         views.spike_events_top(r, cfg, 10),
         summaries.category_shares(r, cfg),
     ]
-    return Report(dict(zip(EXEC_TITLES, sections)), [("sp_executive_report", "Full report generated")])
+    return Report(dict(zip(EXEC_TITLES, sections)), [EXEC_LOG_ENTRY])

@@ -96,9 +96,12 @@ def read_csv(spark: SparkSession, path: str, key_buckets: int | None = None) ->
 
 
 def write_csv(readings: DataFrame, path: str) -> None:
-    """Write readings in the original CSV layout (``Timestamp,TrafficCount``, counts as ``n.0``)."""
+    """Write readings in the original CSV layout (``Timestamp,TrafficCount``, counts as ``n.0``).
+
+    Times keep their microseconds (``2024-01-01 00:00:07.179575``) so a round trip is exact.
+    """
     (readings.select(
-        F.date_format("traffic_time", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"),
+        F.date_format("traffic_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("Timestamp"),
         F.col("traffic_count").cast("double").alias("TrafficCount"),
     ).write.mode("overwrite").option("header", True).csv(path))
 
