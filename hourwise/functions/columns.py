@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -83,3 +83,14 @@ def text_bar(value: str | Column, unit: int) -> Column:
 def field_position(c: str | Column, values: Sequence[str]) -> Column:
     """``FIELD(c, v1, v2, ...)``: 1-based position in ``values``, 0 when absent."""
     return F.array_position(F.array(*[F.lit(v) for v in values]), col(c))
+
+
+def ordered(df: DataFrame, *cols: str | Column) -> DataFrame:
+    """Final display order of a *calendar-bounded* aggregate result.
+
+    The rows are groups of hours, weekdays, bands, months, ISO weeks or days - a few
+    thousand at most whatever the data volume - so they are sorted in one task.  A
+    distributed ``orderBy`` would add a sampling job and a range shuffle for the same
+    handful of rows.  Never use this on raw readings (those keep ``orderBy``).
+    """
+    return df.coalesce(1).sortWithinPartitions(*cols)

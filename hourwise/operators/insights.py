@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourwise.config import TrafficConfig
-from hourwise.functions.columns import ratio, sum_long
+from hourwise.functions.columns import ordered, ratio, sum_long
 
 
 # Insight 1 --------------------------------------------------------------------------------
@@ -32,7 +32,7 @@ def scaling_windows(r: DataFrame, cfg: TrafficConfig, coverage: float | None = N
     if coverage is not None:
         prev = F.lag("cumulative_pct").over(Window.orderBy(F.desc("avg_traffic"), F.asc("hour_of_day")))
         out = out.filter(F.coalesce(prev, F.lit(0.0)) < coverage)
-    return out.orderBy(F.desc("avg_traffic"), "hour_of_day")
+    return out.transform(ordered, F.desc("avg_traffic"), "hour_of_day")
 
 
 # Insight 2 --------------------------------------------------------------------------------
@@ -71,7 +71,7 @@ def anomaly_calendar(r: DataFrame, cfg: TrafficConfig, high: int = 3) -> DataFra
              .otherwise(F.lit("NORMAL")))
     return (d.filter(F.col("spike_hours") >= 1)
             .select("traffic_date", "day_name", "month_name", "daily_total", "spike_hours", level.alias("alert_level"))
-            .orderBy(F.desc("spike_hours"), F.desc("daily_total"), "traffic_date"))
+            .transform(ordered, F.desc("spike_hours"), F.desc("daily_total"), "traffic_date"))
 
 
 # Insight 4 --------------------------------------------------------------------------------
@@ -85,7 +85,7 @@ def weekend_profile(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
         F.round("_wd", 1).alias("weekday_avg"),
         F.round("_we", 1).alias("weekend_avg"),
         F.round(ratio("_we", "_wd") * 100, 1).alias("weekend_as_pct_of_weekday"),
-    ).orderBy("hour_of_day")
+    ).transform(ordered, "hour_of_day")
 
 
 # Insight 6 --------------------------------------------------------------------------------
@@ -110,4 +110,4 @@ def consistency_score(r: DataFrame, cfg: TrafficConfig, predictable: float = 0.5
         F.round("_std", 1).alias("std_dev"),
         F.round(cv * 100, 1).alias("coefficient_of_variation"),
         band.alias("traffic_stability"),
-    ).orderBy(F.asc_nulls_first("coefficient_of_variation"), "hour_of_day")
+    ).transform(ordered, F.asc_nulls_first("coefficient_of_variation"), "hour_of_day")

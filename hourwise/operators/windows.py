@@ -36,6 +36,9 @@ from hourwise.session import checkpoint_dir
 
 LOCAL_BITS = 33  # monotonically_increasing_id: partition id << 33 | row index in partition
 _POS = "_hw_pos"
+# The offsets table has one row (three longs) per range bucket; up to this many buckets
+# (~100 MB) it is broadcast, beyond it the join falls back to a shuffle join on the bucket.
+MAX_BROADCAST_BUCKETS = 4_000_000
 
 
 def _sort_cols(keys: Sequence[str | Column]) -> list[Column]:
@@ -74,8 +77,11 @@ def _offsets(staged: DataFrame) -> DataFrame:
 
 
 def _numbered(df: DataFrame, keys: Sequence[str | Column], out: str, buckets: int | None) -> DataFrame:
-    staged = stage_ordered(df, keys, buckets)
-    offs = F.broadcast(_offsets(staged))
+    b = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    staged = stage_ordered(df, keys, b)
+    offs = _offsets(staged)
+    if b <= MAX_BROADCAST_BUCKETS:  # size bound: one row per bucket
+        offs = F.broadcast(offs)
     local = F.col(_POS).bitwiseAND(F.lit((1 << LOCAL_BITS) - 1))
     joined = staged.join(offs, F.shiftright(staged[_POS], LOCAL_BITS) == offs["_hw_b"])
     return joined.withColumn(out, F.col("_hw_off") + local + F.lit(1)).drop(_POS, "_hw_b", "_hw_off")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourwise.config import TrafficConfig
-from hourwise.functions.columns import avg1, sum_long
+from hourwise.functions.columns import avg1, ordered, sum_long
 from hourwise.operators import summaries
 from hourwise.plans import views
 from hourwise.sources.audit import AuditLog
@@ -116,12 +116,12 @@ def range_daily(r: DataFrame, cfg: TrafficConfig, start: dt.date | str, end: dt.
         avg1().alias("avg_per_hour"),
         F.max("traffic_count").alias("peak_hour"),
         sum_long("is_spike").alias("spikes"),
-    ).orderBy("traffic_date")
+    ).transform(ordered, "traffic_date")
 
 
 def range_hours(r: DataFrame, cfg: TrafficConfig, start: dt.date | str, end: dt.date | str) -> DataFrame:
     return _in_range(r, start, end).groupBy("hour_of_day").agg(
-        avg1().alias("avg_traffic_this_range")).orderBy("hour_of_day")
+        avg1().alias("avg_traffic_this_range")).transform(ordered, "hour_of_day")
 
 
 def range_report(r: DataFrame, cfg: TrafficConfig, start: dt.date | str, end: dt.date | str) -> Report:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourwise.config import TrafficConfig
-from hourwise.functions.columns import avg1, hour_label, std1, sum_long
+from hourwise.functions.columns import avg1, hour_label, ordered, std1, sum_long
 from hourwise.operators.enrich import z_params
 from hourwise.operators.summaries import month_keys
 
@@ -73,11 +73,11 @@ def daily_summary_top(r: DataFrame, cfg: TrafficConfig, n: int = 10) -> DataFram
 
 
 def hourly_pattern_sorted(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
-    return hourly_pattern_view(r, cfg).orderBy("hour_of_day", "is_business_hr")
+    return hourly_pattern_view(r, cfg).transform(ordered, "hour_of_day", "is_business_hr")
 
 
 def monthly_kpi_sorted(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
-    return monthly_kpi(r, cfg).orderBy(*month_keys(cfg))
+    return monthly_kpi(r, cfg).transform(ordered, *month_keys(cfg))
 
 
 def spike_events_top(r: DataFrame, cfg: TrafficConfig, n: int = 15) -> DataFrame:
