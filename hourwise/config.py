@@ -23,8 +23,11 @@ REFERENCE_STD = 11479.0
 REFERENCE_TOTAL = 23995560
 REFERENCE_EXPECTED_ROWS = 2793
 
+# Display order of the bands and full English calendar names, fixed values:
 CATEGORY_ORDER = ("Peak", "High", "Medium", "Low")
 DAY_NAMES = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
+MONTH_NAMES = ("January", "February", "March", "April", "May", "June", "July", "August", "September",
+               "October", "November", "December")
 
 
 @dataclass(frozen=True)

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hourwise.config import TrafficConfig
+from hourwise.config import DAY_NAMES, MONTH_NAMES, TrafficConfig
 from hourwise.functions.columns import col, flag
 
 
+def _name(names: tuple[str, ...], index: Column) -> Column:
+    """Name lookup by 1-based index (cheaper per row than formatting the timestamp)."""
+    return F.element_at(F.array(*[F.lit(n) for n in names]), index)
+
+
 def calendar_columns(t: str | Column, cfg: TrafficConfig) -> dict[str, Column]:
     """The ten calendar columns derived from the reading time, in table order.
 
@@ -20,17 +25,18 @@ def calendar_columns(t: str | Column, cfg: TrafficConfig) -> dict[str, Column]:
     ts = col(t)
     dow = F.dayofweek(ts)
     hour = F.hour(ts)
+    month = F.month(ts)
     lo, hi = cfg.business_hours
     return {
         "traffic_year": F.year(ts),
-        "traffic_month": F.month(ts),
-        "month_name": F.date_format(ts, "MMMM"),
+        "traffic_month": month,
+        "month_name": _name(MONTH_NAMES, month),
         "iso_year": F.extract(F.lit("YEAROFWEEK"), ts),
         "traffic_week": F.weekofyear(ts),
         "traffic_date": F.to_date(ts),
         "hour_of_day": hour,
         "day_of_week": dow,
-        "day_name": F.date_format(ts, "EEEE"),
+        "day_name": _name(DAY_NAMES, dow),
         "is_weekend": flag(dow.isin(*cfg.weekend_days)),
         "is_business_hr": flag(hour.between(lo, hi)),
     }

@@ -67,15 +67,17 @@ def z_params(readings: DataFrame, cfg: TrafficConfig) -> tuple[Column, Column]:
     return mean, std
 
 
-def enrich(readings: DataFrame, cfg: TrafficConfig) -> DataFrame:
+def enrich(readings: DataFrame, cfg: TrafficConfig, stats_from: DataFrame | None = None) -> DataFrame:
     """Add the twelve derived columns (plus ``iso_year``) to base readings.
 
     ``readings`` must have ``record_id, traffic_time, traffic_count``.  Narrow: no
     shuffle; with a computed spike threshold the only extra work is one global
     aggregate evaluated as a scalar subquery (pruned when ``is_spike`` is unused).
+    ``stats_from`` names the readings the threshold is computed over when ``readings``
+    is only a part of them (e.g. enriching just the rows of a top-k).
     """
     cal = calendar_columns("traffic_time", cfg)
-    thr = spike_threshold(readings, cfg)
+    thr = spike_threshold(readings if stats_from is None else stats_from, cfg)
     return readings.select(
         *BASE_COLUMNS,
         *[c.alias(name) for name, c in cal.items()],
