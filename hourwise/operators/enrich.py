@@ -35,13 +35,24 @@ def count_stats(readings: DataFrame) -> DataFrame:
     )
 
 
+def stats_scalar(readings: DataFrame) -> Column:
+    """Mean and population std-dev of ``traffic_count`` as one scalar-subquery struct.
+
+    Every statistic of a query (spike threshold, z-score centre and scale) is a field of
+    this one subquery over the same ``traffic_count`` projection, so Spark runs a single
+    one-row aggregate job for all of them.
+    """
+    return count_stats(readings.select("traffic_count")).select(
+        F.struct("mean_count", "std_count")).scalar()
+
+
 def spike_threshold(readings: DataFrame, cfg: TrafficConfig) -> Column:
-    """The spike threshold as a Column: a literal, or a scalar subquery
-    ``mean + k * stddev_pop`` that Spark evaluates once and broadcasts."""
+    """The spike threshold as a Column: a literal, or ``mean + k * stddev_pop`` taken
+    from :func:`stats_scalar` (evaluated once per query and broadcast as a value)."""
     if cfg.spike_threshold is not None:
         return F.lit(cfg.spike_threshold)
-    st = count_stats(readings)
-    return st.select(F.col("mean_count") + F.lit(cfg.spike_k) * F.col("std_count")).scalar()
+    st = stats_scalar(readings)
+    return st["mean_count"] + F.lit(cfg.spike_k) * st["std_count"]
 
 
 def spike_threshold_frame(readings: DataFrame, cfg: TrafficConfig) -> DataFrame:
@@ -60,10 +71,11 @@ def spike_threshold_frame(readings: DataFrame, cfg: TrafficConfig) -> DataFrame:
 
 
 def z_params(readings: DataFrame, cfg: TrafficConfig) -> tuple[Column, Column]:
-    """Centre and scale of the spike z-score: configured literals or scalar subqueries."""
-    st = count_stats(readings)
-    mean = F.lit(cfg.z_mean) if cfg.z_mean is not None else st.select("mean_count").scalar()
-    std = F.lit(cfg.z_std) if cfg.z_std is not None else st.select("std_count").scalar()
+    """Centre and scale of the spike z-score: configured literals or fields of
+    :func:`stats_scalar` (the same subquery as the computed spike threshold)."""
+    st = stats_scalar(readings)
+    mean = F.lit(cfg.z_mean) if cfg.z_mean is not None else st["mean_count"]
+    std = F.lit(cfg.z_std) if cfg.z_std is not None else st["std_count"]
     return mean, std
 
 

@@ -39,6 +39,19 @@ _POS = "_hw_pos"
 # The offsets table has one row (three longs) per range bucket; up to this many buckets
 # (~100 MB) it is broadcast, beyond it the join falls back to a shuffle join on the bucket.
 MAX_BROADCAST_BUCKETS = 4_000_000
+# Target size of one range bucket when the count is derived from the input size.
+BUCKET_BYTES = 256 << 20
+
+
+def default_buckets(df: DataFrame) -> int:
+    """Range buckets for ``df``: its estimated size (Catalyst statistics of the optimised
+    plan, no job) over :data:`BUCKET_BYTES`, and at least ``spark.sql.shuffle.partitions``."""
+    floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - statistics are an estimate; fall back to the floor
+        return floor
+    return max(floor, min(-(-size // BUCKET_BYTES), MAX_BROADCAST_BUCKETS))
 
 
 def _sort_cols(keys: Sequence[str | Column]) -> list[Column]:
@@ -52,7 +65,7 @@ def stage_ordered(df: DataFrame, keys: Sequence[str | Column], buckets: int | No
     The write is the one eager step of the operators in this module.
     """
     spark = df.sparkSession
-    b = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    b = buckets or default_buckets(df)
     cols = _sort_cols(keys)
     path = f"{checkpoint_dir(spark).rstrip('/')}/hourwise-stage-{uuid.uuid4().hex}"
     (df.repartitionByRange(b, *cols)
@@ -77,7 +90,7 @@ def _offsets(staged: DataFrame) -> DataFrame:
 
 
 def _numbered(df: DataFrame, keys: Sequence[str | Column], out: str, buckets: int | None) -> DataFrame:
-    b = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    b = buckets or default_buckets(df)
     staged = stage_ordered(df, keys, b)
     offs = _offsets(staged)
     if b <= MAX_BROADCAST_BUCKETS:  # size bound: one row per bucket

@@ -40,3 +40,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="hourwise-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4) -> dict[str, str]:
+    """Settings for a large run (e.g. 100 TB on ~1000 executors), to pass to the builder.
+
+    * scan splits of 512 MB (Parquet row groups permitting);
+    * initial shuffle partitions so one partition holds ~256 MB of *raw* input, which AQE
+      then coalesces to the advisory size after the partial aggregates shrink the data;
+    * AQE skew-join handling and local shuffle reads on;
+    * the offsets / 1-row tables are broadcast explicitly, so the automatic broadcast
+      threshold stays at its default.
+    """
+    slots = executors * cores_per_executor
+    partitions = max(slots * 2, -(-input_bytes // (256 << 20)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(512 << 20),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.localShuffleReader.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+    }
