@@ -161,6 +161,45 @@ def day_totals_ranked(cells: DataFrame, cfg: TrafficConfig, k: int = 10, highest
     return d.orderBy(F.desc("daily_total") if highest else F.asc("daily_total"), "traffic_date").limit(k)
 
 
+def overview_short(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
+    return cells.agg(n().alias("records"), total().alias("total_traffic"), F.round(mean(), 1).alias("avg_hourly"),
+                     F.max("hi").alias("peak"), F.min("lo").alias("min_traffic"))
+
+
+def weekday_weekend_exec(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
+    g = cells.groupBy("is_weekend").agg(n().alias("records"), F.round(mean(), 1).alias("avg_traffic"),
+                                        total().alias("total_traffic"))
+    grand_total = F.lit(cfg.grand_total) if cfg.grand_total is not None else grand("total_traffic")
+    return g.select(label_if(F.col("is_weekend") == 0, "Weekday", "Weekend").alias("day_type"), "records",
+                    "avg_traffic", "total_traffic", pct("total_traffic", grand_total).alias("pct_of_total")
+                    ).transform(ordered, "day_type")
+
+
+def category_shares(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
+    g = cells.groupBy("traffic_category").agg(n().alias("records"))
+    return g.select("traffic_category", "records", pct("records", grand("records")).alias("pct")).transform(
+        ordered, field_position("traffic_category", CATEGORY_ORDER))
+
+
+def executive_report(r: DataFrame, cfg: TrafficConfig):
+    """The executive report from one scan: the cell table is built and written once,
+    seven sections aggregate it, and only the spike list reads the readings again."""
+    from hourwise.plans import reports, views
+
+    cells = materialize(build_cells(r, cfg))
+    sections = [
+        overview_short(cells, cfg),
+        monthly_kpi(cells, cfg),
+        hourly_pattern_view(cells, cfg),
+        weekday_weekend_exec(cells, cfg),
+        day_totals_ranked(cells, cfg, 10, True),
+        day_totals_ranked(cells, cfg, 10, False),
+        views.spike_events_top(r, cfg, 10),
+        category_shares(cells, cfg),
+    ]
+    return reports.Report(dict(zip(reports.EXEC_TITLES, sections)), [reports.EXEC_LOG_ENTRY])
+
+
 SECTIONS = {
     "dataset_overview": overview,
     "category_distribution": category_distribution,

@@ -115,6 +115,17 @@ def write_enriched(readings: DataFrame, cfg: TrafficConfig, path: str) -> None:
      .write.mode("overwrite").partitionBy("traffic_date").parquet(path))
 
 
+def read_enriched(spark: SparkSession, path: str) -> DataFrame:
+    """The stored enriched table, columns in the usual order.
+
+    Day and date-range filters on ``traffic_date`` become partition filters (whole day
+    folders are skipped), and ``is_spike`` is read, not recomputed: no statistics pass.
+    """
+    from hourwise.operators.enrich import ENRICHED_COLUMNS
+
+    return spark.read.parquet(path).select(*ENRICHED_COLUMNS)
+
+
 def count_readings(readings: DataFrame, expected: int | None = None) -> DataFrame:
     """Load check: ``COUNT(*) AS total_records`` (plus ``matches_expected`` when given)."""
     out = readings.agg(F.count(F.lit(1)).alias("total_records"))

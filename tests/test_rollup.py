@@ -26,3 +26,20 @@ def test_rollup_equals_direct(both, key):
 def test_cells_are_small(both):
     r, cells = both
     assert cells.count() <= r.select("traffic_date").distinct().count() * 24 * 4
+
+
+def test_shared_executive_report_equals_direct(spark, sf001):
+    from hourwise.plans import reports
+
+    for fx in ("E", "O"):
+        from hourwise.plans.catalog import FIXTURES
+
+        cfg = FIXTURES[fx][1]
+        r = enriched_readings(spark, sf001, fx)
+        direct = reports.executive_report(r, cfg)
+        shared = rollup.executive_report(r, cfg)
+        assert list(direct.sections) == list(shared.sections)
+        for title, d in direct.sections.items():
+            s = shared.sections[title]
+            assert s.dtypes == d.dtypes, title
+            assert [tuple(x) for x in s.collect()] == [tuple(x) for x in d.collect()], title
