@@ -7,8 +7,10 @@ current.  Differences forced by streaming:
 * the spike threshold must be known up front (``cfg.spike_threshold``, e.g. taken from a
   batch run of :func:`hourwise.operators.enrich.spike_threshold_frame`): a global mean and
   std-dev over an unbounded stream is not a fixed value;
-* days are event-time windows with a watermark: late readings are accepted until the
-  watermark passes the end of their day, after which the day's row is final.
+* days are event-time windows with a watermark (latest reading time minus ``lateness``):
+  in append mode a day's row is emitted once the watermark passes the end of the day, and
+  readings for such a closed day that arrive in a later micro-batch are dropped (Spark
+  filters late rows with the previous batch's watermark).
 """
 
 from __future__ import annotations

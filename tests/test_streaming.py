@@ -35,3 +35,33 @@ def test_stream_matches_batch(spark, sf0001, scratch):
     q2.stop()
     n_batch = enrich(base, cfg).filter(F.col("is_spike") == 1).count()
     assert spark.table("spikes_live").count() == n_batch > 0
+
+
+def test_watermark_closes_days(spark, scratch):
+    """Days close once the watermark (max event time - 1 day) passes their end; a reading
+    for a closed day arriving in a later micro-batch is dropped, a reading for an open
+    day is counted.  (Spark filters late rows with the previous batch's watermark.)"""
+    import datetime as dt
+
+    from hourwise.config import REFERENCE
+    from hourwise.sources.readings import READINGS_SCHEMA
+
+    t = dt.datetime
+    batches = [
+        [(1, t(2024, 1, 1, 10), 100), (2, t(2024, 1, 2, 10), 200), (3, t(2024, 1, 5, 12), 300)],
+        [(4, t(2024, 1, 9, 0), 1)],
+        [(5, t(2024, 1, 1, 11), 1000), (6, t(2024, 1, 7, 20), 400)],
+    ]
+    src = os.path.join(scratch, "late")
+    for rows in batches:
+        spark.createDataFrame(rows, READINGS_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    stream = live.readings_stream(spark, src, max_files_per_trigger=1)
+    q = (live.daily_summary_stream(stream, REFERENCE).writeStream.outputMode("append").format("memory")
+         .queryName("late_live").option("checkpointLocation", os.path.join(scratch, "ck3")).start())
+    q.processAllAvailable()
+    progress = [(p["numInputRows"], p.get("eventTime", {}).get("watermark")) for p in q.recentProgress]
+    q.stop()
+    got = {r.traffic_date: r.daily_total for r in spark.table("late_live").collect()}
+    assert got[dt.date(2024, 1, 1)] == 100, (got, progress)  # the late 1000 was dropped
+    assert got[dt.date(2024, 1, 7)] == 400, (got, progress)  # within the lateness bound
+    assert dt.date(2024, 1, 9) not in got                    # still open: not final yet

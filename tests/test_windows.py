@@ -85,3 +85,17 @@ def test_empty_input(spark):
     empty = spark.createDataFrame([], READINGS_SCHEMA)
     assert windows.global_ntile(empty, 4, ["traffic_count", "record_id"]).count() == 0
     assert windows.moving_window(empty, ["traffic_time", "record_id"], "traffic_count", 1, 1).count() == 0
+
+
+def test_range_buckets_stay_balanced_with_a_hot_value(spark, sf001):
+    """A third of the rows share count 0; buckets on (count, record_id) still split them."""
+    from hourwise.sources.readings import from_events
+
+    ev = from_events(spark, sf001)
+    hot = ev.withColumn("traffic_count", F.when(F.col("record_id") % 3 == 0, F.lit(0))
+                        .otherwise(F.col("traffic_count")))
+    staged = windows.stage_ordered(hot, ["traffic_count", "record_id"], buckets=16)
+    sizes = [r[1] for r in staged.groupBy(F.shiftright("_hw_pos", windows.LOCAL_BITS)).count().collect()]
+    n = hot.count()
+    assert sum(sizes) == n and len(sizes) >= 12
+    assert max(sizes) <= 2.5 * n / 16, sizes
