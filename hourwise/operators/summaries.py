@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from hourwise.config import CATEGORY_ORDER, TrafficConfig
 from hourwise.functions.columns import (
-    avg1, field_position, growth_pct, hour_label, label_if, ordered, pct, std1, sum_long, text_bar,
+    avg1, field_position, growth_pct, hour_label, label_if, pct, std1, sum_long, text_bar,
 )
 
 def grand(c: str | Column) -> Column:
@@ -63,7 +63,7 @@ def category_distribution(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
         "traffic_category", "record_count",
         pct("record_count", grand("record_count")).alias("pct_of_records"),
         "total_traffic", "avg_traffic", "min_traffic", "max_traffic",
-    ).transform(ordered, field_position("traffic_category", CATEGORY_ORDER))
+    ).orderBy(field_position("traffic_category", CATEGORY_ORDER))
 
 
 def category_shares(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
@@ -71,7 +71,7 @@ def category_shares(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     g = r.groupBy("traffic_category").agg(F.count(F.lit(1)).alias("records"))
     return g.select(
         "traffic_category", "records", pct("records", grand("records")).alias("pct"),
-    ).transform(ordered, field_position("traffic_category", CATEGORY_ORDER))
+    ).orderBy(field_position("traffic_category", CATEGORY_ORDER))
 
 
 # Q3 ---------------------------------------------------------------------------------------
@@ -102,7 +102,7 @@ def monthly_summary(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
         *keys, "month_name", "hourly_readings", "total_monthly_traffic", "avg_hourly_traffic",
         "peak_hour_traffic", "slowest_hour_traffic",
         growth_pct("total_monthly_traffic", prev).alias("mom_growth_pct"),
-    ).transform(ordered, *keys)
+    ).orderBy(*keys)
 
 
 # Q5 ---------------------------------------------------------------------------------------
@@ -120,7 +120,7 @@ def weekly_totals(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     out = [k if k != "traffic_week" else "iso_week" for k in keys]
     g = g.withColumnRenamed("traffic_week", "iso_week")
     return g.select(*out, "week_starts", "week_ends", "readings", "total_traffic",
-                    "avg_hourly_traffic", "peak_traffic").transform(ordered, *out)
+                    "avg_hourly_traffic", "peak_traffic").orderBy(*out)
 
 
 # Q6 ---------------------------------------------------------------------------------------
@@ -154,7 +154,7 @@ def hourly_pattern(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
         F.round("_avg", 1).alias("avg_traffic"),
         "peak_traffic", "min_traffic",
         text_bar("_avg", cfg.bar_unit).alias("traffic_bar"),
-    ).transform(ordered, "hour_of_day")
+    ).orderBy("hour_of_day")
 
 
 # Q9 ---------------------------------------------------------------------------------------
@@ -172,7 +172,7 @@ def dow_pattern(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
         F.round("_avg", 1).alias("avg_hourly_traffic"),
         "total_traffic", "peak_traffic",
         pct("_avg", overall).alias("pct_of_overall_avg"),
-    ).transform(ordered, "day_of_week")
+    ).orderBy("day_of_week")
 
 
 # Q10 / Q11 / exec section 4 -----------------------------------------------------------------
@@ -190,7 +190,7 @@ def _flag_split(r: DataFrame, flag_col: str, label: Column, label_name: str,
     if with_peak:
         cols.append("peak_traffic")
     cols.append(pct("total_traffic", grand("total_traffic")).alias("pct_of_total_traffic"))
-    return g.select(*cols).transform(ordered, label_name)
+    return g.select(*cols).orderBy(label_name)
 
 
 def weekday_weekend(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
@@ -222,7 +222,7 @@ def weekday_weekend_exec(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
         label_if(F.col("is_weekend") == 0, "Weekday", "Weekend").alias("day_type"),
         "records", "avg_traffic", "total_traffic",
         pct("total_traffic", total).alias("pct_of_total"),
-    ).transform(ordered, "day_type")
+    ).orderBy("day_type")
 
 
 # Q12 --------------------------------------------------------------------------------------
@@ -238,4 +238,4 @@ def hour_dow_heatmap(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     """
     p = r.groupBy("hour_of_day").pivot("day_name", [d for d, _ in HEATMAP_DAYS]).agg(F.avg("traffic_count"))
     cols = [F.round(F.col(d), 0).alias(s) for d, s in HEATMAP_DAYS]
-    return p.select("hour_of_day", *cols).transform(ordered, "hour_of_day")
+    return p.select("hour_of_day", *cols).orderBy("hour_of_day")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourwise.config import TrafficConfig
-from hourwise.functions.columns import growth_pct, ordered, pct, sum_long
+from hourwise.functions.columns import growth_pct, pct, sum_long
 from hourwise.operators.summaries import month_keys
 
 
@@ -33,7 +33,7 @@ def rolling_7day_avg(r: DataFrame, cfg: TrafficConfig, days: int = 7) -> DataFra
     return d.select(
         "traffic_date", "day_name", "daily_total",
         F.round(F.avg("daily_total").over(w), 1).alias(f"rolling_{days}day_avg"),
-    ).transform(ordered, "traffic_date")
+    ).orderBy("traffic_date")
 
 
 # Q13 --------------------------------------------------------------------------------------
@@ -65,7 +65,7 @@ def cumulative_total(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     return d.select(
         "traffic_date", "daily_total", running.alias("cumulative_total"),
         pct(running, total, 2).alias("pct_of_total_reached"),
-    ).transform(ordered, "traffic_date")
+    ).orderBy("traffic_date")
 
 
 # Q15 --------------------------------------------------------------------------------------
@@ -77,7 +77,7 @@ def day_over_day(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
         prev.alias("prev_day_total"),
         (F.col("daily_total") - prev).alias("day_over_day_change"),
         growth_pct("daily_total", prev).alias("pct_change"),
-    ).transform(ordered, "traffic_date")
+    ).orderBy("traffic_date")
 
 
 # Insight 5 --------------------------------------------------------------------------------
@@ -94,4 +94,4 @@ def mom_growth(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
         F.round(F.col("total_traffic") / F.col("active_days"), 1).alias("avg_daily"),
         prev.alias("prev_month_traffic"),
         growth_pct("total_traffic", prev).alias("growth_pct"),
-    ).transform(ordered, *mk)
+    ).orderBy(*mk)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from hourwise.config import CATEGORY_ORDER, TrafficConfig
 from hourwise.functions.calendar import calendar_columns
-from hourwise.functions.columns import field_position, hour_label, label_if, ordered, pct, sum_long
+from hourwise.functions.columns import field_position, hour_label, label_if, pct, sum_long
 from hourwise.operators.summaries import grand
 from hourwise.session import checkpoint_dir
 
@@ -109,7 +109,7 @@ def category_distribution(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
         F.round(mean(), 1).alias("avg_traffic"), F.min("lo").alias("min_traffic"), F.max("hi").alias("max_traffic"))
     share = pct("record_count", grand("record_count")).alias("pct_of_records")
     return g.select("traffic_category", "record_count", share, "total_traffic", "avg_traffic", "min_traffic",
-                    "max_traffic").transform(ordered, field_position("traffic_category", CATEGORY_ORDER))
+                    "max_traffic").orderBy(field_position("traffic_category", CATEGORY_ORDER))
 
 
 def hourly_pattern_view(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
@@ -120,7 +120,7 @@ def hourly_pattern_view(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
     return g.join(s, keys).select(
         "hour_of_day", hour_label("hour_of_day", named=False).alias("hour_label"), "is_business_hr", "observations",
         "avg_traffic", "max_traffic", "min_traffic", F.round("_std", 1).alias("std_dev_traffic"),
-    ).transform(ordered, *keys)
+    ).orderBy(*keys)
 
 
 def daily_summary(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
@@ -134,7 +134,7 @@ def monthly_kpi(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
         n().alias("hourly_readings"), total().alias("total_traffic"), F.round(mean(), 1).alias("avg_hourly_traffic"),
         F.max("hi").alias("peak_traffic"), F.min("lo").alias("min_traffic"), F.sum("spikes").alias("spike_count"),
         F.countDistinct("traffic_date").alias("active_days"),
-    ).transform(ordered, "traffic_year", "traffic_month")
+    ).orderBy("traffic_year", "traffic_month")
 
 
 def weekday_weekend(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
@@ -142,7 +142,7 @@ def weekday_weekend(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
                                         total().alias("total_traffic"), F.max("hi").alias("peak_traffic"))
     return g.select(label_if(F.col("is_weekend") == 0, "Weekday", "Weekend").alias("day_type"), "hourly_readings",
                     "avg_hourly_traffic", "total_traffic", "peak_traffic",
-                    pct("total_traffic", grand("total_traffic")).alias("pct_of_total_traffic")).transform(ordered, "day_type")
+                    pct("total_traffic", grand("total_traffic")).alias("pct_of_total_traffic")).orderBy("day_type")
 
 
 def consistency_score(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
@@ -153,7 +153,7 @@ def consistency_score(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
     return g.join(s, "hour_of_day").select(
         "hour_of_day", F.round("_avg", 1).alias("avg_traffic"), F.round("_std", 1).alias("std_dev"),
         F.round(cv * 100, 1).alias("coefficient_of_variation"), band.alias("traffic_stability"),
-    ).transform(ordered, F.asc_nulls_first("coefficient_of_variation"), "hour_of_day")
+    ).orderBy(F.asc_nulls_first("coefficient_of_variation"), "hour_of_day")
 
 
 def day_totals_ranked(cells: DataFrame, cfg: TrafficConfig, k: int = 10, highest: bool = True) -> DataFrame:
@@ -172,13 +172,13 @@ def weekday_weekend_exec(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
     grand_total = F.lit(cfg.grand_total) if cfg.grand_total is not None else grand("total_traffic")
     return g.select(label_if(F.col("is_weekend") == 0, "Weekday", "Weekend").alias("day_type"), "records",
                     "avg_traffic", "total_traffic", pct("total_traffic", grand_total).alias("pct_of_total")
-                    ).transform(ordered, "day_type")
+                    ).orderBy("day_type")
 
 
 def category_shares(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
     g = cells.groupBy("traffic_category").agg(n().alias("records"))
-    return g.select("traffic_category", "records", pct("records", grand("records")).alias("pct")).transform(
-        ordered, field_position("traffic_category", CATEGORY_ORDER))
+    return g.select("traffic_category", "records", pct("records", grand("records")).alias("pct")).orderBy(
+        field_position("traffic_category", CATEGORY_ORDER))
 
 
 def executive_report(r: DataFrame, cfg: TrafficConfig):
