@@ -7,7 +7,7 @@ run on any count series.  A field left as ``None`` is computed from the data ins
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # Fixed values of the original analysis (they must stay equal for parity runs):
 #   traffic bands: Low < 500 <= Medium < 5000 <= High < 20000 <= Peak
@@ -57,7 +57,6 @@ class TrafficConfig:
     weekend_days: tuple[int, ...] = (1, 7)
     year_safe: bool = True
     expected_rows: int | None = None
-    extra: dict = field(default_factory=dict, compare=False)
 
     def with_(self, **kw) -> "TrafficConfig":
         return replace(self, **kw)

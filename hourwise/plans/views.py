@@ -14,9 +14,6 @@ from hourwise.functions.columns import avg1, hour_label, std1, sum_long
 from hourwise.operators.enrich import z_params
 from hourwise.operators.summaries import month_keys
 
-VIEW_NAMES = ("vw_daily_summary", "vw_hourly_pattern", "vw_monthly_kpi", "vw_spike_events")
-
-
 def daily_summary(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     """vw_daily_summary: one row per day.  ``peak_hour`` / ``slowest_hour`` are the
     largest / smallest reading of the day (counts, not hours), as in the original."""
