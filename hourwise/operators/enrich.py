@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourwise.config import TrafficConfig
-from hourwise.functions.calendar import calendar_columns, traffic_category
+from hourwise.functions.calendar import calendar_sql, traffic_category_sql
 from hourwise.functions.columns import flag
 
 BASE_COLUMNS = ("record_id", "traffic_time", "traffic_count")
@@ -42,8 +42,8 @@ def stats_scalar(readings: DataFrame) -> Column:
     this one subquery over the same ``traffic_count`` projection, so Spark runs a single
     one-row aggregate job for all of them.
     """
-    return count_stats(readings.select("traffic_count")).select(
-        F.struct("mean_count", "std_count")).scalar()
+    stats = readings.selectExpr("avg(traffic_count) AS mean_count", "stddev_pop(traffic_count) AS std_count")
+    return stats.selectExpr("struct(mean_count, std_count)").scalar()
 
 
 def spike_threshold(readings: DataFrame, cfg: TrafficConfig) -> Column:
@@ -88,11 +88,9 @@ def enrich(readings: DataFrame, cfg: TrafficConfig, stats_from: DataFrame | None
     ``stats_from`` names the readings the threshold is computed over when ``readings``
     is only a part of them (e.g. enriching just the rows of a top-k).
     """
-    cal = calendar_columns("traffic_time", cfg)
+    derived = {**calendar_sql("traffic_time", cfg), "traffic_category": traffic_category_sql("traffic_count", cfg)}
+    exprs = [*BASE_COLUMNS, *[f"{sql} AS {name}" for name, sql in derived.items()]]
+    if cfg.spike_threshold is not None:
+        return readings.selectExpr(*exprs, f"CASE WHEN traffic_count > {cfg.spike_threshold} THEN 1 ELSE 0 END AS is_spike")
     thr = spike_threshold(readings if stats_from is None else stats_from, cfg)
-    return readings.select(
-        *BASE_COLUMNS,
-        *[c.alias(name) for name, c in cal.items()],
-        traffic_category("traffic_count", cfg).alias("traffic_category"),
-        flag(F.col("traffic_count") > thr).alias("is_spike"),
-    )
+    return readings.selectExpr(*exprs).withColumn("is_spike", flag(F.col("traffic_count") > thr))

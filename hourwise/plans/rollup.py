@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hourwise.config import CATEGORY_ORDER, TrafficConfig
-from hourwise.functions.calendar import calendar_columns
+from hourwise.functions.calendar import calendar_sql
 from hourwise.functions.columns import field_position, hour_label, label_if, pct, sum_long
 from hourwise.operators.summaries import grand
 from hourwise.session import checkpoint_dir
@@ -51,11 +51,10 @@ def build_cells(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
         (F.var_pop("traffic_count") * F.count(F.lit(1))).alias("m2"),
     )
     # Calendar columns are functions of (date, hour): compute them on cells, not readings.
-    stamp = F.make_timestamp_ntz(F.year("traffic_date"), F.month("traffic_date"), F.dayofmonth("traffic_date"),
-                                 F.col("hour_of_day"), F.lit(0), F.lit(0))
-    cal = calendar_columns(stamp, cfg)
-    extra = {k: v for k, v in cal.items() if k not in ("traffic_date", "hour_of_day")}
-    return cells.select("*", *[c.alias(k) for k, c in extra.items()])
+    stamp = "make_timestamp_ntz(year(traffic_date), month(traffic_date), day(traffic_date), hour_of_day, 0, 0)"
+    cal = calendar_sql(f"({stamp})", cfg)
+    return cells.selectExpr("*", *[f"{sql} AS {k}" for k, sql in cal.items()
+                                   if k not in ("traffic_date", "hour_of_day")])
 
 
 def materialize(cells: DataFrame) -> DataFrame:
