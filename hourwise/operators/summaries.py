@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from hourwise.config import CATEGORY_ORDER, TrafficConfig
 from hourwise.functions.columns import (
-    avg1, field_position, growth_pct, hour_label, label_if, pct, std1, sum_long, text_bar,
+    avg1, count_all, field_position, growth_pct, hour_label, label_if, pct, std1, sum_long, text_bar,
 )
 
+
 def grand(c: str | Column) -> Column:
     """Total of a column over all rows of a small grouped result (never raw readings)."""
     return F.sum(c).over(Window.partitionBy())
@@ -37,7 +38,7 @@ def week_keys(cfg: TrafficConfig) -> list[str]:
 def dataset_overview(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     """One-line summary: counts, time span (calendar days), sum, mean, extremes, population std."""
     return r.agg(
-        F.count(F.lit(1)).alias("total_records"),
+        count_all().alias("total_records"),
         F.min("traffic_time").alias("data_starts"),
         F.max("traffic_time").alias("data_ends"),
         F.datediff(F.max("traffic_time"), F.min("traffic_time")).alias("span_days"),
@@ -53,7 +54,7 @@ def dataset_overview(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
 def category_distribution(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     """Readings per traffic band with their share of all readings, in Peak..Low order."""
     g = r.groupBy("traffic_category").agg(
-        F.count(F.lit(1)).alias("record_count"),
+        count_all().alias("record_count"),
         sum_long("traffic_count").alias("total_traffic"),
         avg1().alias("avg_traffic"),
         F.min("traffic_count").alias("min_traffic"),
@@ -68,7 +69,7 @@ def category_distribution(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
 
 def category_shares(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     """Short form used by the executive report: band, readings, share."""
-    g = r.groupBy("traffic_category").agg(F.count(F.lit(1)).alias("records"))
+    g = r.groupBy("traffic_category").agg(count_all().alias("records"))
     return g.select(
         "traffic_category", "records", pct("records", grand("records")).alias("pct"),
     ).orderBy(field_position("traffic_category", CATEGORY_ORDER))
@@ -90,7 +91,7 @@ def monthly_summary(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     """Per-month totals with month-over-month growth of the total (LAG over months)."""
     keys = month_keys(cfg)
     g = r.groupBy(*keys, "month_name").agg(
-        F.count(F.lit(1)).alias("hourly_readings"),
+        count_all().alias("hourly_readings"),
         sum_long("traffic_count").alias("total_monthly_traffic"),
         avg1().alias("avg_hourly_traffic"),
         F.max("traffic_count").alias("peak_hour_traffic"),
@@ -112,7 +113,7 @@ def weekly_totals(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     g = r.groupBy(*keys).agg(
         F.min("traffic_date").alias("week_starts"),
         F.max("traffic_date").alias("week_ends"),
-        F.count(F.lit(1)).alias("readings"),
+        count_all().alias("readings"),
         sum_long("traffic_count").alias("total_traffic"),
         avg1().alias("avg_hourly_traffic"),
         F.max("traffic_count").alias("peak_traffic"),
@@ -127,7 +128,7 @@ def weekly_totals(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
 def daily_totals(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     """Per day: readings, total, mean, peak reading."""
     return r.groupBy("traffic_date", "day_name").agg(
-        F.count(F.lit(1)).alias("hourly_readings"),
+        count_all().alias("hourly_readings"),
         sum_long("traffic_count").alias("daily_total"),
         avg1().alias("avg_per_hour"),
         F.max("traffic_count").alias("peak_hour_count"),
@@ -142,7 +143,7 @@ def daily_totals_top(r: DataFrame, cfg: TrafficConfig, n: int = 20) -> DataFrame
 def hourly_pattern(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     """Shape of a typical day: per hour of day, with a text bar (one block per ``bar_unit``)."""
     g = r.groupBy("hour_of_day").agg(
-        F.count(F.lit(1)).alias("days_observed"),
+        count_all().alias("days_observed"),
         F.avg("traffic_count").alias("_avg"),
         F.max("traffic_count").alias("peak_traffic"),
         F.min("traffic_count").alias("min_traffic"),
@@ -161,7 +162,7 @@ def hourly_pattern(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
 def dow_pattern(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     """Per weekday; the mean as % of the overall mean (overall = Σsum / Σcount of the groups)."""
     g = r.groupBy("day_of_week", "day_name").agg(
-        F.count(F.lit(1)).alias("hourly_readings"),
+        count_all().alias("hourly_readings"),
         F.avg("traffic_count").alias("_avg"),
         sum_long("traffic_count").alias("total_traffic"),
         F.max("traffic_count").alias("peak_traffic"),
@@ -179,7 +180,7 @@ def dow_pattern(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
 def _flag_split(r: DataFrame, flag_col: str, label: Column, label_name: str,
                 with_peak: bool) -> DataFrame:
     aggs = [
-        F.count(F.lit(1)).alias("hourly_readings"),
+        count_all().alias("hourly_readings"),
         avg1().alias("avg_hourly_traffic"),
         sum_long("traffic_count").alias("total_traffic"),
     ]
@@ -213,7 +214,7 @@ def _clock(h: int) -> str:
 def weekday_weekend_exec(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     """Executive-report form: shorter names, share of ``cfg.grand_total`` (or the real total)."""
     g = r.groupBy("is_weekend").agg(
-        F.count(F.lit(1)).alias("records"),
+        count_all().alias("records"),
         avg1().alias("avg_traffic"),
         sum_long("traffic_count").alias("total_traffic"),
     )

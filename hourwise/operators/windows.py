@@ -32,6 +32,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourwise.functions.columns import count_all
 from hourwise.session import checkpoint_dir
 
 LOCAL_BITS = 33  # monotonically_increasing_id: partition id << 33 | row index in partition
@@ -80,7 +81,7 @@ def _offsets(staged: DataFrame) -> DataFrame:
 
     One row per range bucket - bounded by the bucket count, so it is safe to broadcast.
     """
-    counts = staged.groupBy(F.shiftright(_POS, LOCAL_BITS).alias("_hw_b")).agg(F.count(F.lit(1)).alias("_hw_n"))
+    counts = staged.groupBy(F.shiftright(_POS, LOCAL_BITS).alias("_hw_b")).agg(count_all().alias("_hw_n"))
     before = F.sum("_hw_n").over(Window.orderBy("_hw_b").rowsBetween(Window.unboundedPreceding, -1))
     return counts.select(
         "_hw_b",
@@ -167,7 +168,7 @@ def ntile_top(df: DataFrame, k: int, order_col: str, tiebreak: str, n: int, out:
     Their global positions are ``N - i + 1`` for the i-th from the top, so a per-task top-n
     and the row count (a scalar subquery) are all that is needed: no global sort.
     """
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = df.agg(count_all()).scalar()
     desc = [F.desc(order_col), F.desc(tiebreak)]
     top = df.orderBy(*desc).limit(n)
     # Window over the n selected rows only; position and count become columns once.

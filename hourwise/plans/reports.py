@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourwise.config import TrafficConfig
-from hourwise.functions.columns import avg1, sum_long
+from hourwise.functions.columns import avg1, count_all, sum_long
 from hourwise.operators import summaries
 from hourwise.plans import views
 from hourwise.sources.audit import AuditLog
@@ -52,12 +52,12 @@ def day_summary(r: DataFrame, cfg: TrafficConfig, day: dt.date | str) -> DataFra
     on_day = r.filter(F.col("traffic_date") == d)
     day_total = on_day.agg(F.sum("traffic_count")).scalar()
     day_totals = r.groupBy("traffic_date").agg(F.sum("traffic_count").alias("_dt"))
-    rank = day_totals.filter(F.col("_dt") > day_total).agg(F.count(F.lit(1)) + 1).scalar()
+    rank = day_totals.filter(F.col("_dt") > day_total).agg(count_all() + 1).scalar()
     return on_day.agg(
         d.alias("report_date"),
         F.max("day_name").alias("day_of_week"),
         F.max("month_name").alias("month"),
-        F.count(F.lit(1)).alias("total_readings"),
+        count_all().alias("total_readings"),
         sum_long("traffic_count").alias("total_traffic"),
         avg1().alias("avg_per_hour"),
         F.max("traffic_count").alias("peak_traffic"),
@@ -102,7 +102,7 @@ def range_summary(r: DataFrame, cfg: TrafficConfig, start: dt.date | str, end: d
         s.alias("from_date"),
         e.alias("to_date"),
         (F.datediff(e, s) + 1).alias("days_in_range"),
-        F.count(F.lit(1)).alias("hourly_readings"),
+        count_all().alias("hourly_readings"),
         sum_long("traffic_count").alias("total_traffic"),
         avg1().alias("avg_hourly_traffic"),
         F.max("traffic_count").alias("peak_traffic"),
@@ -137,7 +137,7 @@ def range_report(r: DataFrame, cfg: TrafficConfig, start: dt.date | str, end: dt
 # Procedure 3 ------------------------------------------------------------------------------
 def overview_short(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     return r.agg(
-        F.count(F.lit(1)).alias("records"),
+        count_all().alias("records"),
         sum_long("traffic_count").alias("total_traffic"),
         avg1().alias("avg_hourly"),
         F.max("traffic_count").alias("peak"),

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from hourwise.config import CATEGORY_ORDER, TrafficConfig
 from hourwise.functions.calendar import calendar_sql
-from hourwise.functions.columns import field_position, hour_label, label_if, pct, sum_long
+from hourwise.functions.columns import count_all, field_position, hour_label, label_if, pct, sum_long
 from hourwise.operators.summaries import grand
 from hourwise.session import checkpoint_dir
 
@@ -41,14 +41,14 @@ CELL_KEYS = ("traffic_date", "hour_of_day", "traffic_category")
 def build_cells(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     """Per-cell partial aggregates plus the calendar columns of the cell."""
     cells = r.groupBy(*CELL_KEYS).agg(
-        F.count(F.lit(1)).alias("n"),
+        count_all().alias("n"),
         sum_long("traffic_count").alias("total"),
         F.min("traffic_count").alias("lo"),
         F.max("traffic_count").alias("hi"),
         sum_long("is_spike").alias("spikes"),
         F.min("traffic_time").alias("first_time"),
         F.max("traffic_time").alias("last_time"),
-        (F.var_pop("traffic_count") * F.count(F.lit(1))).alias("m2"),
+        (F.var_pop("traffic_count") * count_all()).alias("m2"),
     )
     # Calendar columns are functions of (date, hour): compute them on cells, not readings.
     stamp = "make_timestamp_ntz(year(traffic_date), month(traffic_date), day(traffic_date), hour_of_day, 0, 0)"

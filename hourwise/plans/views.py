@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourwise.config import TrafficConfig
-from hourwise.functions.columns import avg1, hour_label, std1, sum_long
+from hourwise.functions.columns import avg1, count_all, hour_label, std1, sum_long
 from hourwise.operators.enrich import z_params
 from hourwise.operators.summaries import month_keys
 
@@ -18,7 +18,7 @@ def daily_summary(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     """vw_daily_summary: one row per day.  ``peak_hour`` / ``slowest_hour`` are the
     largest / smallest reading of the day (counts, not hours), as in the original."""
     return r.groupBy("traffic_date", "day_name", "month_name", "traffic_week", "is_weekend").agg(
-        F.count(F.lit(1)).alias("hourly_readings"),
+        count_all().alias("hourly_readings"),
         sum_long("traffic_count").alias("daily_total"),
         avg1().alias("avg_per_hour"),
         F.max("traffic_count").alias("peak_hour"),
@@ -30,7 +30,7 @@ def daily_summary(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
 def hourly_pattern_view(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     """vw_hourly_pattern: per hour (and its business-hour flag) with population std-dev."""
     g = r.groupBy("hour_of_day", "is_business_hr").agg(
-        F.count(F.lit(1)).alias("observations"),
+        count_all().alias("observations"),
         avg1().alias("avg_traffic"),
         F.max("traffic_count").alias("max_traffic"),
         F.min("traffic_count").alias("min_traffic"),
@@ -45,7 +45,7 @@ def hourly_pattern_view(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
 def monthly_kpi(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     """vw_monthly_kpi: per month, including spike readings and distinct active days."""
     return r.groupBy("traffic_year", "traffic_month", "month_name").agg(
-        F.count(F.lit(1)).alias("hourly_readings"),
+        count_all().alias("hourly_readings"),
         sum_long("traffic_count").alias("total_traffic"),
         avg1().alias("avg_hourly_traffic"),
         F.max("traffic_count").alias("peak_traffic"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourwise.config import TrafficConfig
+from hourwise.functions.columns import count_all
 from hourwise.operators.enrich import enrich
 
 READINGS_SCHEMA = T.StructType([
@@ -128,7 +129,7 @@ def read_enriched(spark: SparkSession, path: str) -> DataFrame:
 
 def count_readings(readings: DataFrame, expected: int | None = None) -> DataFrame:
     """Load check: ``COUNT(*) AS total_records`` (plus ``matches_expected`` when given)."""
-    out = readings.agg(F.count(F.lit(1)).alias("total_records"))
+    out = readings.agg(count_all().alias("total_records"))
     if expected is not None:
         out = out.withColumn("matches_expected", F.col("total_records") == F.lit(expected))
     return out

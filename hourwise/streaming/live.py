@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourwise.config import TrafficConfig
-from hourwise.functions.columns import sum_long
+from hourwise.functions.columns import count_all, sum_long
 from hourwise.operators.enrich import enrich
 from hourwise.sources.readings import READINGS_SCHEMA
 
@@ -49,7 +49,7 @@ def daily_summary_stream(readings: DataFrame, cfg: TrafficConfig, lateness: str
          .withWatermark("_event_time", lateness))
     g = r.groupBy(F.window("_event_time", "1 day").alias("day"), "day_name", "month_name", "traffic_week",
                   "is_weekend").agg(
-        F.count(F.lit(1)).alias("hourly_readings"),
+        count_all().alias("hourly_readings"),
         sum_long("traffic_count").alias("daily_total"),
         F.round(F.avg("traffic_count"), 1).alias("avg_per_hour"),
         F.max("traffic_count").alias("peak_hour"),
