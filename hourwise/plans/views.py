@@ -81,14 +81,18 @@ def spike_events_top(r: DataFrame, cfg: TrafficConfig, n: int = 15) -> DataFrame
     return spike_events(r, cfg).orderBy(F.desc("traffic_count"), "record_id").limit(n)
 
 
-def register_views(r: DataFrame, cfg: TrafficConfig) -> dict[str, DataFrame]:
-    """Create or replace the four temporary views; returns them by name."""
+def register_views(r: DataFrame, cfg: TrafficConfig, readings_view: str | None = "traffic_readings"
+                   ) -> dict[str, DataFrame]:
+    """Create or replace the four temporary views (and, under ``readings_view``, the
+    enriched readings themselves, so ad-hoc SQL can run against them); returns them."""
     views = {
         "vw_daily_summary": daily_summary(r, cfg),
         "vw_hourly_pattern": hourly_pattern_view(r, cfg),
         "vw_monthly_kpi": monthly_kpi(r, cfg),
         "vw_spike_events": spike_events(r, cfg),
     }
+    if readings_view:
+        views[readings_view] = r
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     return views

@@ -62,3 +62,17 @@ def test_registered_views_answer_sql(spark, e):
     direct = views.spike_events_top(e, EVENTS, 15).select("record_id")
     assert [r[0] for r in top.collect()] == [r[0] for r in direct.collect()]
     assert spark.sql("SELECT count(*) FROM vw_hourly_pattern").first()[0] == 24
+
+
+def test_adhoc_sql_over_registered_readings(spark, e):
+    """An original-style statement in Spark SQL against the registered enriched readings."""
+    views.register_views(e, EVENTS)
+    got = spark.sql("""
+        SELECT hour_of_day, ROUND(AVG(traffic_count), 1) AS avg_traffic,
+               ROUND(STDDEV_POP(traffic_count), 1) AS std_dev
+        FROM traffic_readings GROUP BY hour_of_day ORDER BY hour_of_day""").collect()
+    from hourwise.operators import insights
+
+    want = insights.consistency_score(e, EVENTS).orderBy("hour_of_day").collect()
+    assert [(r.hour_of_day, r.avg_traffic, r.std_dev) for r in got] == \
+        [(r.hour_of_day, r.avg_traffic, r.std_dev) for r in want]
