@@ -78,18 +78,22 @@ def mean() -> Column:
     return F.sum("total") / F.sum("n")
 
 
-def with_std(cells: DataFrame, keys: Sequence[str], out: str = "_std") -> DataFrame:
-    """Group std-dev (population) of ``keys``-groups of cells, as a per-group table."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    gmean = F.sum("total").over(w) / F.sum("n").over(w)
-    dev = cells.select(*keys, "n", "m2", ((F.col("total") / F.col("n")) - gmean).alias("_d"))
-    return dev.groupBy(*keys).agg(
-        F.sqrt((F.sum("m2") + F.sum(F.col("n") * F.col("_d") * F.col("_d"))) / F.sum("n")).alias(out))
+def agg_with_std(cells: DataFrame, keys: Sequence[str], *aggs: Column, out: str = "_std") -> DataFrame:
+    """``groupBy(keys).agg(*aggs, population std-dev)`` over cells, in one aggregate.
+
+    Each cell's deviation from its group mean comes from a window partitioned by the same
+    keys, so the aggregate reuses that partitioning (no extra shuffle, no join).
+    """
+    w = Window.partitionBy(*keys)
+    dev = cells.withColumn("_d", F.col("total") / F.col("n") - F.sum("total").over(w) / F.sum("n").over(w))
+    std = F.sqrt((F.sum("m2") + F.sum(F.col("n") * F.col("_d") * F.col("_d"))) / F.sum("n")).alias(out)
+    return dev.groupBy(*keys).agg(*aggs, std)
 
 
 # Sections --------------------------------------------------------------------------------
 def overview(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
-    base = cells.agg(
+    g = agg_with_std(
+        cells, [],
         n().alias("total_records"),
         F.min("first_time").alias("data_starts"),
         F.max("last_time").alias("data_ends"),
@@ -99,7 +103,7 @@ def overview(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
         F.min("lo").alias("min_traffic"),
         F.max("hi").alias("max_traffic"),
     )
-    return base.crossJoin(with_std(cells, []).select(F.round("_std", 1).alias("std_deviation")))
+    return g.select("*", F.round("_std", 1).alias("std_deviation")).drop("_std")
 
 
 def category_distribution(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
@@ -113,10 +117,9 @@ def category_distribution(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
 
 def hourly_pattern_view(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
     keys = ["hour_of_day", "is_business_hr"]
-    g = cells.groupBy(*keys).agg(n().alias("observations"), F.round(mean(), 1).alias("avg_traffic"),
-                                 F.max("hi").alias("max_traffic"), F.min("lo").alias("min_traffic"))
-    s = with_std(cells, keys)
-    return g.join(s, keys).select(
+    g = agg_with_std(cells, keys, n().alias("observations"), F.round(mean(), 1).alias("avg_traffic"),
+                     F.max("hi").alias("max_traffic"), F.min("lo").alias("min_traffic"))
+    return g.select(
         "hour_of_day", hour_label("hour_of_day", named=False).alias("hour_label"), "is_business_hr", "observations",
         "avg_traffic", "max_traffic", "min_traffic", F.round("_std", 1).alias("std_dev_traffic"),
     ).orderBy(*keys)
@@ -145,11 +148,10 @@ def weekday_weekend(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
 
 
 def consistency_score(cells: DataFrame, cfg: TrafficConfig) -> DataFrame:
-    g = cells.groupBy("hour_of_day").agg(mean().alias("_avg"))
-    s = with_std(cells, ["hour_of_day"])
+    g = agg_with_std(cells, ["hour_of_day"], mean().alias("_avg"))
     cv = F.try_divide(F.col("_std"), F.col("_avg"))
     band = F.when(cv < 0.5, F.lit("Predictable")).when(cv < 1.0, F.lit("Moderate")).otherwise(F.lit("Volatile"))
-    return g.join(s, "hour_of_day").select(
+    return g.select(
         "hour_of_day", F.round("_avg", 1).alias("avg_traffic"), F.round("_std", 1).alias("std_dev"),
         F.round(cv * 100, 1).alias("coefficient_of_variation"), band.alias("traffic_stability"),
     ).orderBy(F.asc_nulls_first("coefficient_of_variation"), "hour_of_day")
