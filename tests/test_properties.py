@@ -76,3 +76,14 @@ def test_adhoc_sql_over_registered_readings(spark, e):
     want = insights.consistency_score(e, EVENTS).orderBy("hour_of_day").collect()
     assert [(r.hour_of_day, r.avg_traffic, r.std_dev) for r in got] == \
         [(r.hour_of_day, r.avg_traffic, r.std_dev) for r in want]
+
+
+def test_scaling_coverage_keeps_hours_up_to_the_share(e):
+    from hourwise.operators import insights
+
+    full = insights.scaling_windows(e, EVENTS).collect()
+    cut = insights.scaling_windows(e, EVENTS, coverage=80.0).collect()
+    # All hours until the running share first reaches 80 %, in the same order.
+    k = next(i for i, r in enumerate(full) if r.cumulative_pct >= 80.0)
+    assert [r.hour_of_day for r in cut] == [r.hour_of_day for r in full[:k + 1]]
+    assert full[-1].cumulative_pct == 100.0
