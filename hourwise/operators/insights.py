@@ -30,8 +30,10 @@ def scaling_windows(r: DataFrame, cfg: TrafficConfig, coverage: float | None = N
         F.round(running / total * 100, 1).alias("cumulative_pct"),
     )
     if coverage is not None:
+        # Keep hours until the running share first reaches ``coverage`` (24 rows at most).
         prev = F.lag("cumulative_pct").over(Window.orderBy(F.desc("avg_traffic"), F.asc("hour_of_day")))
-        out = out.filter(F.coalesce(prev, F.lit(0.0)) < coverage)
+        out = (out.withColumn("_prev", F.coalesce(prev, F.lit(0.0)))
+               .filter(F.col("_prev") < coverage).drop("_prev"))
     return out.orderBy(F.desc("avg_traffic"), "hour_of_day")
 
 
