@@ -158,3 +158,24 @@ def test_computed_threshold_mode(spark):
     expect = sorted(i for i, _, v in __import__("micro").ROWS if v > mean + std)
     got = sorted(x.record_id for x in r2.filter(F.col("is_spike") == 1).collect())
     assert got == expect
+
+
+def test_parity_mode_without_year_keys(r):
+    cfg = CFG.with_(year_safe=False)
+    m = summaries.monthly_summary(r, cfg)
+    assert m.columns[:2] == ["traffic_month", "month_name"]
+    # Months sort by number only: January (1) before December (12), as in the original.
+    assert [(x.traffic_month, x.total_monthly_traffic) for x in m.collect()] == [(1, 114096), (12, 100)]
+    w = summaries.weekly_totals(r, cfg)
+    assert w.columns[0] == "iso_week" and [x.iso_week for x in w.collect()] == [1, 2, 53]
+    g = trends.mom_growth(r, cfg).collect()
+    assert [x.traffic_month for x in g] == [1, 12] and g[1].prev_month_traffic == 114096
+
+
+def test_cluster_conf_sizes_partitions_from_input():
+    from hourwise.session import cluster_conf
+
+    conf = cluster_conf(100 << 40, executors=1000, cores_per_executor=4)
+    assert int(conf["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert int(cluster_conf(1 << 30, executors=10)["spark.sql.shuffle.partitions"]) == 80
