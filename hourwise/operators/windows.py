@@ -40,19 +40,27 @@ _POS = "_hw_pos"
 # The offsets table has one row (three longs) per range bucket; up to this many buckets
 # (~100 MB) it is broadcast, beyond it the join falls back to a shuffle join on the bucket.
 MAX_BROADCAST_BUCKETS = 4_000_000
-# Target size of one range bucket when the count is derived from the input size.
+# Range buckets hold at most BUCKET_BYTES of input; below that, buckets are added (down to
+# MIN_BUCKET_BYTES each) until every core has a few, so one slow bucket cannot hold a stage.
 BUCKET_BYTES = 256 << 20
+MIN_BUCKET_BYTES = 4 << 20
+BUCKETS_PER_CORE = 4
 
 
 def default_buckets(df: DataFrame) -> int:
-    """Range buckets for ``df``: its estimated size (Catalyst statistics of the optimised
-    plan, no job) over :data:`BUCKET_BYTES`, and at least ``spark.sql.shuffle.partitions``."""
-    floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Range buckets for ``df`` from its estimated size (Catalyst statistics of the
+    optimised plan, no job): at least ``spark.sql.shuffle.partitions``, up to
+    ``BUCKETS_PER_CORE`` per core while buckets stay >= ``MIN_BUCKET_BYTES``, and at least
+    one per ``BUCKET_BYTES`` (the term that dominates at 100 TB)."""
+    spark = df.sparkSession
+    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 - statistics are an estimate; fall back to the floor
         return floor
-    return max(floor, min(-(-size // BUCKET_BYTES), MAX_BROADCAST_BUCKETS))
+    cores = spark.sparkContext.defaultParallelism
+    spread = min(BUCKETS_PER_CORE * cores, -(-size // MIN_BUCKET_BYTES))
+    return min(max(floor, spread, -(-size // BUCKET_BYTES)), MAX_BROADCAST_BUCKETS)
 
 
 def _sort_cols(keys: Sequence[str | Column]) -> list[Column]:

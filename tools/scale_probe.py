@@ -5,6 +5,8 @@ with distinct ids and times; nothing written) and times plain vs scaled NTILE(4)
 3-row moving average, and direct vs rollup aggregate sections, with the noop sink.  Diagnostic only, not a registered query.
 
 usage: python tools/scale_probe.py [copies ...]
+       python tools/scale_probe.py --dir DIR   (a folder with an events.parquet, e.g. a
+                                                written copy of the derived readings)
 """
 
 from __future__ import annotations
@@ -36,9 +38,10 @@ def derived(spark, copies: int):
         "traffic_count")
 
 
-def timed(df) -> float:
+def timed(build) -> float:
+    """Seconds to build (the scaled operators stage data eagerly) and run a query."""
     t0 = time.perf_counter()
-    df.write.format("noop").mode("overwrite").save()
+    build().write.format("noop").mode("overwrite").save()
     return round(time.perf_counter() - t0, 2)
 
 
@@ -46,15 +49,21 @@ def main() -> None:
     spark = local_session(cores=8, shuffle_partitions=8, app="hourwise-scale-probe")
     checkpoint_dir(spark)
     out = {}
-    for copies in [int(x) for x in sys.argv[1:]] or [10, 100]:
-        r = derived(spark, copies).repartition(8 * max(1, copies // 10))
+    args = sys.argv[1:]
+    if args[:1] == ["--dir"]:
+        inputs = [(None, lambda: from_events(spark, args[1]))]
+    else:
+        inputs = [(c, lambda c=c: derived(spark, c).repartition(8 * max(1, c // 10)))
+                  for c in ([int(x) for x in args] or [10, 100])]
+    for copies, make in inputs:
+        r = make()
         keys_n, keys_t = ["traffic_count", "record_id"], ["traffic_time", "record_id"]
-        row = {"rows": 100000 * copies}
-        row["ntile_plain"] = timed(r.withColumn("q", F.ntile(4).over(Window.orderBy(*keys_n))))
-        row["ntile_scaled"] = timed(windows.global_ntile(r, 4, keys_n, out="q"))
+        row = {"rows": r.count()}
+        row["ntile_plain"] = timed(lambda: r.withColumn("q", F.ntile(4).over(Window.orderBy(*keys_n))))
+        row["ntile_scaled"] = timed(lambda: windows.global_ntile(r, 4, keys_n, out="q"))
         w = Window.orderBy(*keys_t).rowsBetween(-1, 1)
-        row["moving_plain"] = timed(r.withColumn("m", F.avg("traffic_count").over(w)))
-        row["moving_scaled"] = timed(windows.moving_window(r, keys_t, "traffic_count", 1, 1, out="m"))
+        row["moving_plain"] = timed(lambda: r.withColumn("m", F.avg("traffic_count").over(w)))
+        row["moving_scaled"] = timed(lambda: windows.moving_window(r, keys_t, "traffic_count", 1, 1, out="m"))
         # Nine aggregate sections: one scan each vs one shared cell table.
         e = enrich(r, EVENTS)
         t0 = time.perf_counter()
