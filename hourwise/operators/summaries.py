@@ -232,11 +232,11 @@ HEATMAP_DAYS = (("Monday", "Mon"), ("Tuesday", "Tue"), ("Wednesday", "Wed"), ("T
 
 
 def hour_dow_heatmap(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
-    """Hour x weekday mean, pivoted to one column per weekday (Mon..Sun).
+    """Hour x weekday mean, one column per weekday (Mon..Sun).
 
-    The value list is given, so Spark skips the distinct-values job; the pivot is a
-    partial aggregate on (hour, day) followed by a pivot of <= 168 cells.
+    Seven conditional means in one ``groupBy(hour)``: a single partial/final aggregate
+    (a ``pivot`` would plan a second aggregation level and shuffle for the same cells).
     """
-    p = r.groupBy("hour_of_day").pivot("day_name", [d for d, _ in HEATMAP_DAYS]).agg(F.avg("traffic_count"))
-    cols = [F.round(F.col(d), 0).alias(s) for d, s in HEATMAP_DAYS]
-    return p.select("hour_of_day", *cols).orderBy("hour_of_day")
+    cells = [F.expr(f"round(avg(CASE WHEN day_name = '{day}' THEN traffic_count END), 0)").alias(short)
+             for day, short in HEATMAP_DAYS]
+    return r.groupBy("hour_of_day").agg(*cells).orderBy("hour_of_day")
