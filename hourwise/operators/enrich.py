@@ -91,6 +91,7 @@ def enrich(readings: DataFrame, cfg: TrafficConfig, stats_from: DataFrame | None
     derived = {**calendar_sql("traffic_time", cfg), "traffic_category": traffic_category_sql("traffic_count", cfg)}
     exprs = [*BASE_COLUMNS, *[f"{sql} AS {name}" for name, sql in derived.items()]]
     if cfg.spike_threshold is not None:
-        return readings.selectExpr(*exprs, f"CASE WHEN traffic_count > {cfg.spike_threshold} THEN 1 ELSE 0 END AS is_spike")
+        fixed = f"CASE WHEN traffic_count > {cfg.spike_threshold} THEN 1 ELSE 0 END AS is_spike"
+        return readings.selectExpr(*exprs, fixed)
     thr = spike_threshold(readings if stats_from is None else stats_from, cfg)
     return readings.selectExpr(*exprs).withColumn("is_spike", flag(F.col("traffic_count") > thr))

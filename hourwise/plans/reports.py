@@ -71,7 +71,8 @@ SPIKE_MARK = "⚠ SPIKE"
 
 def day_hours(r: DataFrame, cfg: TrafficConfig, day: dt.date | str) -> DataFrame:
     """Every reading of ``day`` in time order, with its band and a spike marker."""
-    return r.filter(F.col("traffic_date") == _date(day)).orderBy("hour_of_day", "traffic_time", "record_id").select(
+    on_day = r.filter(F.col("traffic_date") == _date(day))
+    return on_day.orderBy("hour_of_day", "traffic_time", "record_id").select(
         "hour_of_day", "traffic_count", "traffic_category",
         F.when(F.col("is_spike") == 1, F.lit(SPIKE_MARK)).otherwise(F.lit("")).alias("spike_flag"),
     )
