@@ -14,7 +14,7 @@ from micro import micro_readings
 
 
 def test_csv_counts_written_as_decimals(spark, scratch):
-    path = os.path.join(scratch, "web_traffic.csv")
+    path = os.path.join(scratch, "readings.csv")
     with open(path, "w") as f:
         f.write("Timestamp,TrafficCount\n2020-01-20 11:00:00,8591.0\n2020-01-20 10:00:00,17.0\n"
                 "2020-01-20 12:30:00,0.0\n")
@@ -56,7 +56,7 @@ def test_load_check(spark):
 
 
 def test_audit_log_nine_rows_in_order(spark, scratch):
-    log = AuditLog(spark, os.path.join(scratch, "analysis_log"))
+    log = AuditLog(spark, os.path.join(scratch, "audit_log"))
     log.append([SETUP_ENTRY])
     log.append(SUMMARY_ENTRIES)
     rows = log.read().collect()
