@@ -43,9 +43,17 @@ def test_scaled_windows_never_single_partition_over_readings(spark, sf0001, qs,
         assert re.search(r"hashpartitioning\(_hw_block", text)
 
 
-@pytest.mark.parametrize("key", ["ntile_quartiles", "moving_3row_avg", "top_spikes", "vw_spike_events_top15"])
-def test_top_k_reports_use_take_ordered(spark, sf0001, qs, key):
-    assert "TakeOrderedAndProject" in plan_text(qs[key](spark, sf0001))
+TOP_K_KEYS = ["preview_first10", "enriched_preview", "top_spikes", "daily_totals_top20", "ntile_quartiles",
+              "moving_3row_avg", "vw_daily_summary_top10", "vw_spike_events_top15", "exec_top_days",
+              "exec_low_days", "exec_spikes", "insight_maintenance"]
+
+
+@pytest.mark.parametrize("key", TOP_K_KEYS)
+def test_top_k_reports_never_sort_globally(spark, sf0001, qs, key):
+    """A LIMIT report must plan a per-task top-k, never a range-partitioned global sort."""
+    text = plan_text(qs[key](spark, sf0001))
+    assert "TakeOrderedAndProject" in text
+    assert "rangepartitioning" not in text
 
 
 @pytest.mark.parametrize("key", ["daily_report_summary", "daily_report_hours", "range_report_daily"])
