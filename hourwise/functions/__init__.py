@@ -1 +1 @@
-"""hourwise.functions."""
+"""Column and SQL-expression helpers: calendar columns, bands, shares, labels, text bars."""

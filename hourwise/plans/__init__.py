@@ -1 +1,2 @@
-"""hourwise.plans."""
+"""Composed plans: views, parameterised reports, the shared rollup, the query registry
+(`catalog`, used by `__spark_entry__`) and the DuckDB oracle texts (`oracle`)."""
