@@ -18,7 +18,7 @@ KEYS = sorted(entry.queries())
 
 def norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else repr(round(v, 9))
+        return "nan" if math.isnan(v) else repr(v)  # exact float equality
     return v.isoformat() if hasattr(v, "isoformat") else repr(v)
 
 
