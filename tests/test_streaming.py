@@ -65,3 +65,18 @@ def test_watermark_closes_days(spark, scratch):
     assert got[dt.date(2024, 1, 1)] == 100, (got, progress)  # the late 1000 was dropped
     assert got[dt.date(2024, 1, 7)] == 400, (got, progress)  # within the lateness bound
     assert dt.date(2024, 1, 9) not in got                    # still open: not final yet
+
+
+def test_stream_needs_fixed_statistics(spark, scratch):
+    import pytest
+
+    from hourwise.config import EVENTS
+    from hourwise.sources.readings import READINGS_SCHEMA
+
+    src = os.path.join(scratch, "empty")
+    spark.createDataFrame([], READINGS_SCHEMA).write.parquet(src)
+    stream = live.readings_stream(spark, src)
+    with pytest.raises(ValueError):
+        live.daily_summary_stream(stream, EVENTS)  # computed threshold: not a constant on a stream
+    with pytest.raises(ValueError):
+        live.spike_stream(stream, EVENTS.with_(spike_threshold=100.0))  # z-score scale missing
