@@ -44,3 +44,26 @@ def test_ntile_property(spark, rows, k, buckets):
     want = {r.record_id: r.t for r in df.withColumn("t", F.ntile(k).over(Window.orderBy(*keys))).collect()}
     got = {r.record_id: r.t for r in windows.global_ntile(df, k, keys, out="t", buckets=buckets).collect()}
     assert got == want
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=rows_strategy, k=st.integers(1, 6), n=st.integers(1, 40))
+def test_ntile_top_property(spark, rows, k, n):
+    """Top-n rows with their NTILE(k), including tables smaller than n."""
+    df = frame(spark, rows)
+    plain = (df.withColumn("t", F.ntile(k).over(Window.orderBy("traffic_count", "record_id")))
+             .orderBy(F.desc("traffic_count"), F.desc("record_id")).limit(n))
+    top = windows.ntile_top(df, k, "traffic_count", "record_id", n, out="t")
+    assert {r.record_id: r.t for r in top.collect()} == {r.record_id: r.t for r in plain.collect()}
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=rows_strategy, n=st.integers(1, 40))
+def test_moving_head_property(spark, rows, n):
+    """First-n moving averages, including tables smaller than n + 1."""
+    df = frame(spark, rows)
+    keys = ["traffic_time", "record_id"]
+    w = Window.orderBy(*keys).rowsBetween(-1, 1)
+    plain = df.withColumn("m", F.avg("traffic_count").over(w)).orderBy(*keys).limit(n)
+    head = windows.moving_head(df, keys, "traffic_count", 1, 1, n, out="m")
+    assert {r.record_id: r.m for r in head.collect()} == {r.record_id: r.m for r in plain.collect()}
