@@ -27,6 +27,18 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hourwise.llm.ctw import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hourwise.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hourwise.llm.chat import format_digests
 
@@ -70,7 +82,8 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_url_filters, op2_decontamination, op5_chat, op6_pii, op7_embeddings, op8_mixing, op9_minhash, op10_licenses,
+        op1_url_filters, op2_decontamination, op3_language_model, op4_toxicity, op5_chat, op6_pii, op7_embeddings,
+        op8_mixing, op9_minhash, op10_licenses,
     )
 }
 
