@@ -22,24 +22,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("x", F.col("m").alias("y")))
 
 
+def _stars(edges: DataFrame) -> bool:
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root"))
+    )
+    bad = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or up + root > 1")
+    return not bad.take(1)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has a link.
 
     ``links`` holds unordered pairs of any comparable type; self links, nulls and repeats are ignored.  Each round
-    is two min-aggregates and two joins; a hot node is split by AQE, since only joins meet its raw links.  The loop
-    ends when a round changes nothing, compared by a hash sum on the cluster; every round is staged.
+    is two min-aggregates and two joins; a hot node is split by AQE, since only joins meet its raw links.  Every round
+    is staged.  The loop ends when the edges are stars: no node has two roots, and no root has one itself.
     """
-    e = (
-        links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
-    )
-    e, last = staged(e), None
-    while True:
+    e = staged(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
+    while not _stars(e):
         step = _small_star(_large_star(e)).where("x <> y").distinct()
         e = staged(step.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if now == last:
-            break
-        last = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

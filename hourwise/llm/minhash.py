@@ -9,8 +9,8 @@ candidates; a pair at the threshold 0.85 shares none with probability (1 - 0.85^
 
 Work on a bucket is cut into blocks of ``BLOCK`` members, and pairs of blocks are the units, so a hot bucket is
 spread.  Pairs pass a length bound and the collision-corrected estimate, then are confirmed on the full sets.
-Equal sets are one node from the start.  Two rounds link members to a few pivots of their bucket and contract the
-components; the last round compares, in the buckets that still hold several components, every remaining pair, so
+Equal sets are one node from the start.  A first round links members to a few pivots of their bucket and contracts the
+components; the second compares, in the buckets that still hold several components, every remaining pair, so
 no link that could join two components is skipped.
 
 Edge cases: null or empty texts and texts without words have an empty set, link with nothing and keep their own
@@ -29,7 +29,7 @@ from hourwise.llm.components import components
 
 REGISTERS, BANDS, ROWS, MANTISSA = 120, 24, 5, 10
 BLOCK = 256
-PIVOTS = 3
+PIVOTS = 8
 #: Standard errors that the estimate may fall short; used for sets of at least 64 shingles only.
 SLACK = 5.0
 _PROBES = mix(np.arange(REGISTERS * 512, dtype=np.uint64) + U(77)).reshape(512, REGISTERS) % U(REGISTERS)
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     )
     nodes = staged(nodes.join(wanted, "node", "left_semi"))
     links, comp = None, None
-    for pivots in (PIVOTS, PIVOTS, None):
+    for pivots in (PIVOTS, None):
         cand = grouped_arrow(
             _units(member, nodes, comp), ["bkey", "bi", "bj"], _candidates(percent, pivots), "a binary, b binary"
         ).distinct()

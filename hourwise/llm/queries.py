@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hourwise.llm.oracles import ORACLES  # noqa: F401 - the entry reads both
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -87,6 +89,3 @@ QUERIES = {
     )
 }
 
-
-#: DuckDB SQL by query.
-ORACLES: dict[str, str] = {}
