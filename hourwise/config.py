@@ -69,6 +69,7 @@ REFERENCE = TrafficConfig(
     z_std=REFERENCE_STD,
     grand_total=REFERENCE_TOTAL,
     expected_rows=REFERENCE_EXPECTED_ROWS,
+    year_safe=False,
 )
 
 # Computed-statistics configurations for the two test-data fixtures.

@@ -26,8 +26,8 @@ def scaling_windows(r: DataFrame, cfg: TrafficConfig, coverage: float | None = N
     running = F.sum("avg_traffic").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = h.select(
         "hour_of_day", "avg_traffic",
-        F.round(F.col("avg_traffic") / total * 100, 2).alias("pct_of_day_traffic"),
-        F.round(running / total * 100, 1).alias("cumulative_pct"),
+        F.round(F.try_divide(F.col("avg_traffic"), total) * 100, 2).alias("pct_of_day_traffic"),
+        F.round(F.try_divide(running, total) * 100, 1).alias("cumulative_pct"),
     )
     if coverage is not None:
         # Keep hours until the running share first reaches ``coverage`` (24 rows at most).
@@ -68,9 +68,7 @@ def anomaly_calendar(r: DataFrame, cfg: TrafficConfig, high: int = 3) -> DataFra
         sum_long("traffic_count").alias("daily_total"),
         sum_long("is_spike").alias("spike_hours"),
     )
-    level = (F.when(F.col("spike_hours") >= high, F.lit("HIGH ALERT"))
-             .when(F.col("spike_hours") >= 1, F.lit("ELEVATED"))
-             .otherwise(F.lit("NORMAL")))
+    level = F.when(F.col("spike_hours") >= high, F.lit("HIGH ALERT")).otherwise(F.lit("ELEVATED"))
     return (d.filter(F.col("spike_hours") >= 1)
             .select("traffic_date", "day_name", "month_name", "daily_total", "spike_hours", level.alias("alert_level"))
             .orderBy(F.desc("spike_hours"), F.desc("daily_total"), "traffic_date"))

@@ -37,30 +37,18 @@ from hourwise.session import checkpoint_dir
 
 LOCAL_BITS = 33  # monotonically_increasing_id: partition id << 33 | row index in partition
 _POS = "_hw_pos"
-# The offsets table has one row (three longs) per range bucket; up to this many buckets
-# (~100 MB) it is broadcast, beyond it the join falls back to a shuffle join on the bucket.
-MAX_BROADCAST_BUCKETS = 4_000_000
-# Range buckets hold at most BUCKET_BYTES of input; below that, buckets are added (down to
-# MIN_BUCKET_BYTES each) until every core has a few, so one slow bucket cannot hold a stage.
-BUCKET_BYTES = 256 << 20
-MIN_BUCKET_BYTES = 4 << 20
+# Range buckets hold at most BUCKET_ROWS rows; below that, buckets are added (down to
+# MIN_BUCKET_ROWS each) until every core has a few, so one slow bucket cannot hold a stage.
+BUCKET_ROWS = 4 << 20
+MIN_BUCKET_ROWS = 1 << 16
 BUCKETS_PER_CORE = 4
 
 
 def default_buckets(df: DataFrame) -> int:
-    """Range buckets for ``df`` from its estimated size (Catalyst statistics of the
-    optimised plan, no job): at least ``spark.sql.shuffle.partitions``, up to
-    ``BUCKETS_PER_CORE`` per core while buckets stay >= ``MIN_BUCKET_BYTES``, and at least
-    one per ``BUCKET_BYTES`` (the term that dominates at 100 TB)."""
-    spark = df.sparkSession
-    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - statistics are an estimate; fall back to the floor
-        return floor
-    cores = spark.sparkContext.defaultParallelism
-    spread = min(BUCKETS_PER_CORE * cores, -(-size // MIN_BUCKET_BYTES))
-    return min(max(floor, spread, -(-size // BUCKET_BYTES)), MAX_BROADCAST_BUCKETS)
+    """Range buckets for ``df`` from its row count (one counting pass, whatever the source)."""
+    rows = df.count()
+    spread = min(BUCKETS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-rows // MIN_BUCKET_ROWS))
+    return max(1, spread, -(-rows // BUCKET_ROWS))
 
 
 def _sort_cols(keys: Sequence[str | Column]) -> list[Column]:
@@ -101,9 +89,7 @@ def _offsets(staged: DataFrame) -> DataFrame:
 def _numbered(df: DataFrame, keys: Sequence[str | Column], out: str, buckets: int | None) -> DataFrame:
     b = buckets or default_buckets(df)
     staged = stage_ordered(df, keys, b)
-    offs = _offsets(staged)
-    if b <= MAX_BROADCAST_BUCKETS:  # size bound: one row per bucket
-        offs = F.broadcast(offs)
+    offs = F.broadcast(_offsets(staged))  # size bound: three numbers for each BUCKET_ROWS rows or ``buckets``
     local = F.col(_POS).bitwiseAND(F.lit((1 << LOCAL_BITS) - 1))
     joined = staged.join(offs, F.shiftright(staged[_POS], LOCAL_BITS) == offs["_hw_b"])
     return joined.withColumn(out, F.col("_hw_off") + local + F.lit(1)).drop(_POS, "_hw_b", "_hw_off")
@@ -149,8 +135,7 @@ def moving_window(df: DataFrame, keys: Sequence[str | Column], value: str, befor
     of 65,536 positions give thousands of equal window partitions from a few hundred
     million rows up, at a halo cost of ``before + after`` copies per block.
     """
-    if block_rows < max(before, after, 1):
-        raise ValueError("block_rows must be at least the frame reach")
+    block_rows = max(block_rows, before, after, 1)  # the halo reaches one block at most
     numbered = _numbered(df, keys, "_hw_rn", buckets).drop("_hw_total")
     s = F.lit(block_rows)
     idx = F.col("_hw_rn") - 1

@@ -60,7 +60,7 @@ def spike_events(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     mean, std = z_params(r.select("traffic_count"), cfg)
     return r.filter(F.col("is_spike") == 1).select(
         "record_id", "traffic_time", "traffic_date", "day_name", "hour_of_day", "month_name", "traffic_count",
-        F.round((F.col("traffic_count") - mean) / std, 2).alias("z_score"),
+        F.round(F.try_divide(F.col("traffic_count") - mean, std), 2).alias("z_score"),
     )
 
 
@@ -74,7 +74,9 @@ def hourly_pattern_sorted(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
 
 
 def monthly_kpi_sorted(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
-    return monthly_kpi(r, cfg).orderBy(*month_keys(cfg))
+    kpi = monthly_kpi(r, cfg)
+    rest = [c for c in kpi.columns if c not in month_keys(cfg)]  # without year keys, months of several years tie
+    return kpi.orderBy(*month_keys(cfg), *rest)
 
 
 def spike_events_top(r: DataFrame, cfg: TrafficConfig, n: int = 15) -> DataFrame:

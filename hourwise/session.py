@@ -38,22 +38,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not sc.master.startswith("local") and not configured:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="hourwise-ckpt-"))
     return sc.getCheckpointDir()
 
 
-def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4) -> dict[str, str]:
+def cluster_conf(executors: int, cores_per_executor: int = 4) -> dict[str, str]:
     """Settings for a large run (e.g. 100 TB on ~1000 executors), to pass to the builder.
 
     * scan splits of 512 MB (Parquet row groups permitting);
-    * initial shuffle partitions so one partition holds ~256 MB of *raw* input, which AQE
-      then coalesces to the advisory size after the partial aggregates shrink the data;
-    * AQE skew-join handling and local shuffle reads on;
-    * the offsets / 1-row tables are broadcast explicitly, so the automatic broadcast
-      threshold stays at its default.
+    * initial shuffle partitions from the slots: aggregates here shuffle a row per group and task, so
+      partitions need not follow the raw input, and map x reduce blocks stay few;
+    * AQE coalescing, skew-join handling and local shuffle reads on.
     """
-    slots = executors * cores_per_executor
-    partitions = max(slots * 2, -(-input_bytes // (256 << 20)))
+    partitions = 4 * executors * cores_per_executor
     return {
         "spark.sql.files.maxPartitionBytes": str(512 << 20),
         "spark.sql.shuffle.partitions": str(partitions),

@@ -87,7 +87,7 @@ def read_csv(spark: SparkSession, path: str, key_buckets: int | None = None) ->
     """
     from hourwise.operators.windows import global_row_number
 
-    raw = spark.read.schema(CSV_SCHEMA).option("header", True).option("mode", "FAILFAST").csv(path)
+    raw = spark.read.schema(CSV_SCHEMA).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
     base = raw.select(
         not_null("Timestamp", "traffic_time").alias("traffic_time"),
         count_from_double(not_null("TrafficCount", "traffic_count")).alias("traffic_count"),

@@ -41,13 +41,15 @@ def daily_summary_stream(readings: DataFrame, cfg: TrafficConfig, lateness: str
     """Streaming form of the daily-summary view, one row per (day, weekday, ...) group.
 
     Grouping on the 1-day event-time window lets the watermark close days; the window's
-    start is the ``traffic_date``.  Watermarks need a TIMESTAMP column, so the wall-clock
-    reading time is read in the session time zone for event-time purposes only.
+    days are those of the wall clock in any session time zone.  Watermarks need a TIMESTAMP
+    column and windows are cut at UTC midnight, so the event time is the wall-clock time
+    taken as UTC.
     """
     _require_threshold(cfg)
-    r = (enrich(readings, cfg).withColumn("_event_time", F.col("traffic_time").cast("timestamp"))
+    r = (enrich(readings, cfg).withColumn("_event_time", F.from_utc_timestamp(
+        F.col("traffic_time").cast("timestamp"), F.current_timezone()))
          .withWatermark("_event_time", lateness))
-    g = r.groupBy(F.window("_event_time", "1 day").alias("day"), "day_name", "month_name", "traffic_week",
+    g = r.groupBy(F.window("_event_time", "1 day").alias("day"), "traffic_date", "day_name", "month_name", "traffic_week",
                   "is_weekend").agg(
         count_all().alias("hourly_readings"),
         sum_long("traffic_count").alias("daily_total"),
@@ -56,7 +58,7 @@ def daily_summary_stream(readings: DataFrame, cfg: TrafficConfig, lateness: str
         F.min("traffic_count").alias("slowest_hour"),
         sum_long("is_spike").alias("spike_hours"),
     )
-    return g.select(F.to_date(F.col("day.start")).alias("traffic_date"), "day_name", "month_name", "traffic_week",
+    return g.select("traffic_date", "day_name", "month_name", "traffic_week",
                     "is_weekend", "hourly_readings", "daily_total", "avg_per_hour", "peak_hour", "slowest_hour",
                     "spike_hours")
 
@@ -69,5 +71,5 @@ def spike_stream(readings: DataFrame, cfg: TrafficConfig) -> DataFrame:
     r = enrich(readings, cfg)
     return r.filter(F.col("is_spike") == 1).select(
         "record_id", "traffic_time", "traffic_date", "day_name", "hour_of_day", "month_name", "traffic_count",
-        F.round((F.col("traffic_count") - F.lit(cfg.z_mean)) / F.lit(cfg.z_std), 2).alias("z_score"),
+        F.round(F.try_divide(F.col("traffic_count") - F.lit(cfg.z_mean), F.lit(cfg.z_std)), 2).alias("z_score"),
     )

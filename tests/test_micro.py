@@ -11,7 +11,7 @@ from hourwise.operators.enrich import enrich
 from hourwise.plans import reports, views
 from micro import micro_readings
 
-CFG = REFERENCE
+CFG = REFERENCE.with_(year_safe=True)
 
 
 @pytest.fixture(scope="module")
@@ -172,10 +172,24 @@ def test_parity_mode_without_year_keys(r):
     assert [x.traffic_month for x in g] == [1, 12] and g[1].prev_month_traffic == 114096
 
 
-def test_cluster_conf_sizes_partitions_from_input():
+def test_cluster_conf_sizes_partitions_from_slots():
     from hourwise.session import cluster_conf
 
-    conf = cluster_conf(100 << 40, executors=1000, cores_per_executor=4)
-    assert int(conf["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    conf = cluster_conf(executors=1000, cores_per_executor=4)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 16_000
     assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
-    assert int(cluster_conf(1 << 30, executors=10)["spark.sql.shuffle.partitions"]) == 80
+
+
+def test_zero_series_gives_null_shares(spark):
+    from hourwise.operators import insights
+
+    z = spark.createDataFrame([(0, 0), (1, 0)], "hour_of_day int, traffic_count int")
+    assert [r.pct_of_day_traffic for r in insights.scaling_windows(z, CFG).collect()] == [None, None]
+
+
+def test_buckets_of_frames_without_file_statistics(spark):
+    from hourwise.operators.windows import default_buckets
+
+    rows = spark.createDataFrame([(i,) for i in range(100)], "x int")
+    assert default_buckets(rows) == 1
+    assert default_buckets(rows.join(rows, "x")) == 1

@@ -61,9 +61,10 @@ def test_moving_window_sum_and_count(skewed):
     assert collect_map(scaled, "record_id", "s") == collect_map(plain, "record_id", "s")
 
 
-def test_moving_window_rejects_small_blocks(skewed):
-    with pytest.raises(ValueError):
-        windows.moving_window(skewed, ["traffic_time", "record_id"], "traffic_count", 3, 1, block_rows=2)
+def test_frame_wider_than_block(spark, skewed):
+    w = Window.orderBy("traffic_time", "record_id").rowsBetween(-3, 1)
+    out = windows.moving_window(skewed, ["traffic_time", "record_id"], "traffic_count", 3, 1, block_rows=2, out="m")
+    assert out.select("record_id", "m").exceptAll(skewed.select("record_id", F.avg("traffic_count").over(w).alias("m"))).isEmpty()
 
 
 def test_ntile_top_equals_plain_top(skewed):
