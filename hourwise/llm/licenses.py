@@ -6,7 +6,8 @@ window; templates are cut into a window at every word (one shorter window, if th
 has ``BANDS`` values (bands of one row): the least of its 3-word shingles under BANDS hashes.  A document window
 that lies inside a copied template equals a template window and collides for sure; one that holds a whole template
 of five words (three of its six shingles) is missed with probability (1 - 1/2)^16 < 2e-5, and copies have up to two
-such windows.  Windows whose bands miss a fixed bitmap of the templates' bands are dropped before any shuffle.
+such windows.  Equal MinHash values mean a common shingle, so windows without a shingle in a fixed bitmap of the
+templates' shingles cannot collide; they are passed over before any MinHash is computed.
 
 Verification: all distinct 3-word shingles of the template, against those of the document's words around the window
 (as many on either side as the longest template has); at least ``contained`` of them have to be there.
@@ -51,28 +52,34 @@ def _hashes(ws: Column) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def _sketches(hashes: Column, stride: int, kept=None) -> Column:
-    """Array of (at, band, value): the MinHash values of every window; only those that ``kept(band, value)`` passes."""
+def _sketches(hashes: Column, stride: int, seen=None) -> Column:
+    """Array of (at, band, value): the MinHash values of every window; only of windows with a shingle that ``seen`` passes."""
     per = WINDOW - SHINGLE + 1
 
     def window(h: Column, at: Column) -> Column:
-        values = F.transform(F.array(F.slice(h, at + 1, per)), lambda part: F.transform(
+        return F.transform(F.array(F.slice(h, at + 1, per)), lambda part: F.transform(
             F.sequence(F.lit(0), F.lit(BANDS - 1)),
             lambda b: F.struct(at.alias("at"), b.alias("band"), F.array_min(F.transform(part, lambda x: F.xxhash64(x, b))).alias("value")),
         ))[0]
-        return F.filter(values, lambda v: kept(v["band"], v["value"])) if kept else values
 
-    def all_windows(h: Column) -> Column:
+    def starts(h: Column) -> Column:
         last = F.greatest(F.lit(0), F.size(h) - per + (stride - 1))
-        return F.flatten(F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda at: window(h, at)))
+        if seen is None:
+            return F.sequence(F.lit(0), last, F.lit(stride))
+        hits = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: seen(F.get(h, i)))
+        covering = F.transform(hits, lambda p: F.filter(
+            F.transform(F.sequence(F.lit(0), F.lit((per - 1) // stride)), lambda k: p - F.pmod(p, F.lit(stride)) - k * stride),
+            lambda at: (at >= 0) & (at <= last) & (p - at < per),
+        ))
+        return F.array_distinct(F.flatten(covering))
 
     # the one-element array binds the hashes, so that they are computed once for a document
-    bound = F.transform(F.array(hashes), lambda h: F.when(F.size(h) > 0, all_windows(h)))
+    bound = F.transform(F.array(hashes), lambda h: F.when(F.size(h) > 0, F.flatten(F.transform(starts(h), lambda at: window(h, at)))))
     return bound[0]
 
 
-def _slot(c: Column) -> tuple[Column, Column]:
-    x = F.xxhash64(c, F.lit(99))
+def _slot(x: Column) -> tuple[Column, Column]:
+    """Word and bit of a shingle hash in the bitmap."""
     return F.pmod(x, F.lit(BITMAP_WORDS)).cast("int"), F.pmod(F.shiftright(x, 20), F.lit(64)).cast("int")
 
 
@@ -85,8 +92,9 @@ def license_matches(docs: DataFrame, templates: DataFrame, contained: float = 0.
         tpl.select("license", F.explode_outer(_sketches(_hashes(F.col("ws")), 1)).alias("x"))
         .where("x is not null").select("license", "x.band", "x.value").distinct()
     )
-    word, bit = _slot(F.xxhash64("value", "band"))
-    marks = index.select(word.alias("word"), F.expr("1L").alias("one"), bit.alias("bit")).groupBy("word").agg(
+    word, bit = _slot(F.col("h"))
+    shingles = tpl.select(F.explode(_hashes(F.col("ws"))).alias("h"))
+    marks = shingles.select(word.alias("word"), F.expr("1L").alias("one"), bit.alias("bit")).groupBy("word").agg(
         F.bit_or(F.call_function("shiftleft", F.col("one"), F.col("bit"))).alias("bits")
     )
     # at most BITMAP_WORDS longs, whatever the templates
@@ -98,13 +106,13 @@ def license_matches(docs: DataFrame, templates: DataFrame, contained: float = 0.
         bitmap = [0] * BITMAP_WORDS
     bits = F.from_json(F.lit("[" + ",".join(map(str, bitmap)) + "]"), "array<bigint>")
 
-    def marked(band: Column, value: Column) -> Column:
-        w, b = _slot(F.xxhash64(value, band))
+    def seen(h: Column) -> Column:
+        w, b = _slot(h)
         return F.getbit(F.get(bits, w), b) == 1
 
     lo = F.greatest(F.lit(0), F.col("x.at") - longest)
     cand = (
-        keyed.select("rk", "ws", F.explode_outer(_sketches(_hashes(F.col("ws")), STRIDE, marked)).alias("x"))
+        keyed.select("rk", "ws", F.explode_outer(_sketches(_hashes(F.col("ws")), STRIDE, seen)).alias("x"))
         .where("x is not null")
         .select("rk", "x.at", F.slice("ws", lo + 1, F.lit(WINDOW) + 2 * longest).alias("region"), "x.band", "x.value")
     )
