@@ -104,7 +104,7 @@ def _lgamma(x: Column) -> Column:
     """log Gamma(x) for x >= 1/2: Stirling's series at x + 6."""
     y = x + 6
     shift = F.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y**5) - shift
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - shift
 
 
 def _log_kt(n0: Column, n1: Column) -> Column:
