@@ -10,8 +10,11 @@ its lower-cased (A-Z) bytes and an end byte 0, after DEPTH bytes 0; its score is
 
 All on the cluster.  Documents are dealt to blocks of about ``BLOCK`` bytes by a hash.  A block reports its distinct byte
 strings of DEPTH + 1 and its distinct words, with their counts in training documents; sums over blocks are the corpus
-statistics.  The tree is built level by level in joins and aggregates, each block gets back the values of what it reported,
-and looks its positions up.  Nothing corpus-sized passes through the driver or is broadcast; no counts are pruned.
+statistics.  The tree is cut at depth ROOT: subtrees (all strings that share their nearest ROOT context bytes) are dealt to
+buckets of about KEYS strings, each bucket works its levels up to the roots, the levels above them (at most 256^ROOT
+contexts of one decision, whatever the corpus) are worked decision by decision, and what these give the roots goes back
+down the subtrees.  Each block gets back the values of what it reported, and looks its positions up.  Nothing corpus-sized
+passes through the driver or is broadcast; no counts are pruned.
 
 The base score's words are without white space; a word is known by its 64-bit hash.
 
@@ -25,13 +28,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourwise.llm.common import LOWER, NOT_SPACE, U, Words, longs, parts, staged, text_buffer
+from hourwise.llm.common import LOWER, NOT_SPACE, U, Words, grouped_arrow, longs, parts, staged, text_buffer
 from hourwise.llm.toxicity import held_out
 
-DEPTH, BLOCK = 4, 16 << 20
+DEPTH, BLOCK = 6, 16 << 20
+#: Depth of the subtrees' roots, and keys in a bucket of subtrees.
+ROOT, KEYS = 3, 1 << 17
 #: The end token's key among the words.
 END = 0x0E4D
 
@@ -100,77 +105,116 @@ def _report(batches):
     yield from flush()
 
 
-def _lgamma(x: Column) -> Column:
+def _lgamma(x: np.ndarray) -> np.ndarray:
     """log Gamma(x) for x >= 1/2: Stirling's series at x + 6."""
     y = x + 6
-    shift = F.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - shift
+    shift = np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - shift
+
+
+def _log_kt(n: np.ndarray) -> np.ndarray:
+    """Log of the KT block probability of counts (rows n0, n1)."""
+    a = n + 0.5
+    return _lgamma(a[0]) + _lgamma(a[1]) - _lgamma(a[0] + a[1]) - math.log(math.pi)
 
 
-def _log_kt(n0: Column, n1: Column) -> Column:
-    a, b = n0 + F.lit(0.5), n1 + F.lit(0.5)
-    return _lgamma(a) + _lgamma(b) - _lgamma(a + b) - math.log(math.pi)
+class Level:
+    """Nodes of one depth, sorted: keys, counts (rows n0, n1), log weighted probability, weight of stopping."""
 
+    def __init__(self, node: np.ndarray, n: np.ndarray, lw: np.ndarray, stay: np.ndarray):
+        self.node, self.n, self.lw, self.stay = node, n, lw, stay
+        self.up = np.zeros(0, np.int64)
 
-def _mask(depth: int) -> int:
-    """Bits of a node key at a depth: that many context bytes above the eight bits of the decision."""
-    return (1 << 8 * (depth + 1)) - 1
+    def parents(self, depth: int) -> Level:
+        """The level above, at ``depth``; ``up`` becomes each node's place there."""
+        # a key's low byte is the decision, the bytes above it are the context from the nearest on
+        node, self.up = np.unique(self.node & U((1 << 8 * (depth + 1)) - 1), return_inverse=True)
+        n = np.stack([np.bincount(self.up, x, len(node)) for x in self.n])
+        below, kt = np.bincount(self.up, self.lw, len(node)), _log_kt(n)
+        return Level(node, n, np.logaddexp(kt, below) - math.log(2), 1 / (1 + np.exp(np.minimum(700.0, below - kt))))
 
+    def mixture(self, mixed: np.ndarray, left: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What a node gives its children, from what its parent gives it: the estimates mixed so far, the weight left,
+        and the probability of bit 1 where the context is known to here only (nodes without counts inherit it)."""
+        total = self.n.sum(axis=0)
+        one = (self.n[1] + 0.5) / (total + 1)
+        return mixed + left * self.stay * one, left * (1 - self.stay), np.where(total > 0, mixed + left * one, p)
 
-def _decisions(leaf: DataFrame, *keep: str) -> DataFrame:
-    """Eight rows for each key: ``node`` (context and decision at full depth) and the ``bit`` taken."""
-    d = leaf.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    taken = F.expr("cast(shiftright(key & 255L, 8 - j) as bigint) | shiftleft(1L, j)")
-    bit = F.expr("cast(shiftright(key & 255L, 7 - j) & 1L as int)")
-    return d.select("key", *keep, F.expr("key - (key & 255L)").bitwiseOR(taken).alias("node"), bit.alias("bit"))
 
+def _levels(node: np.ndarray, n: np.ndarray, lw: np.ndarray, top: int, depth: int) -> list[Level]:
+    """Levels ``top`` to ``depth`` over the (sorted) nodes of the deepest."""
+    levels = [Level(node, n, lw, np.ones(len(node)))]
+    for d in range(depth - 1, top - 1, -1):
+        levels.insert(0, levels[0].parents(d))
+    return levels
 
-def tree(leaf: DataFrame) -> list[DataFrame]:
-    """For each depth (node, p): the mixture's probability of bit 1 where the context is known to just that depth."""
-    level = _decisions(leaf, "n").groupBy("node").agg(
-        F.sum(F.expr("if(bit = 0, n, 0L)")).alias("n0"), F.sum(F.expr("if(bit = 1, n, 0L)")).alias("n1")
-    )
-    level = staged(level.withColumn("lw", _log_kt(F.col("n0"), F.col("n1"))).withColumn("stay", F.lit(1.0)))
-    levels = [level]
-    for depth in range(DEPTH - 1, -1, -1):
-        up = level.groupBy(F.col("node").bitwiseAND(F.lit(_mask(depth))).alias("node")).agg(
-            F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("lw").alias("below")
-        )
-        kt = _log_kt(F.col("n0"), F.col("n1"))
-        up = up.withColumn("kt", kt).withColumn("high", F.greatest("kt", "below")).select(
-            "node", "n0", "n1",
-            (F.col("high") + F.log(F.exp(F.col("kt") - F.col("high")) + F.exp(F.col("below") - F.col("high"))) - math.log(2)).alias("lw"),
-            (1 / (1 + F.exp(F.least(F.lit(700.0), F.col("below") - F.col("kt"))))).alias("stay"),
-        )
-        level = staged(up)
-        levels.insert(0, level)
-    one = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
-    out = []
-    for depth, level in enumerate(levels):
-        here = level.select("node", one.alias("one"), "stay")
-        if depth == 0:
-            here = here.withColumn("mixed", F.lit(0.0)).withColumn("left", F.lit(1.0))
-        else:
-            up = out[-1].select(
-                F.col("node").alias("parent"), (F.col("mixed") + F.col("left") * F.col("stay") * F.col("one")).alias("mixed"),
-                (F.col("left") * (1 - F.col("stay"))).alias("left"),
-            )
-            here = here.join(up, F.col("node").bitwiseAND(F.lit(_mask(depth - 1))) == F.col("parent")).drop("parent")
-        out.append(staged(here.withColumn("p", F.col("mixed") + F.col("left") * F.col("one"))))
-    return [x.select("node", "p") for x in out]
-
-
-def _log10(levels: list[DataFrame], keys: DataFrame) -> DataFrame:
-    """(key, value): log10 probability of the key's byte after its context."""
-    d = _decisions(keys)
-    full = staged(d.join(levels[-1], "node", "left"))
-    rest = full.where("p is null").drop("p")
-    for depth in range(DEPTH - 1, -1, -1):
-        x = levels[depth].select(F.col("node").alias("up"), F.col("p").alias(f"p{depth}"))
-        rest = rest.join(x, F.col("node").bitwiseAND(F.lit(_mask(depth))) == F.col("up"), "left").drop("up")
-    rest = rest.select("key", "bit", F.coalesce(*[f"p{i}" for i in range(DEPTH - 1, -1, -1)], F.lit(0.5)).alias("p"))
-    both = full.where("p is not null").select("key", "bit", "p").unionByName(rest)
-    return both.groupBy("key").agg(F.sum(F.log10(F.expr("if(bit = 1, p, 1 - p)"))).alias("value"))
+
+def _down(levels: list[Level], given: tuple, below: Level | None = None) -> tuple:
+    """``given`` to the first level's nodes, carried to the last's children, or handed out to the nodes of ``below``."""
+    for level, after in zip(levels, [*levels[1:], below]):
+        given = level.mixture(*given)
+        if after is not None:
+            given = tuple(x[after.up] for x in given)
+    return given
+
+
+def _leaves(key: np.ndarray, count: np.ndarray) -> tuple[list[Level], np.ndarray, np.ndarray]:
+    """Levels ROOT to DEPTH of whole subtrees; eight decisions a key: places in the deepest level, and bits taken."""
+    byte, context = key & U(255), key & ~U(255)
+    step = np.stack([context | U(1 << j) | (byte >> U(8 - j)) for j in range(8)], axis=1).ravel()
+    bit = np.stack([(byte >> U(7 - j)) & U(1) for j in range(8)], axis=1).ravel().astype(bool)
+    node, at = np.unique(step, return_inverse=True)
+    times = np.repeat(count, 8)
+    n = np.stack([np.bincount(at, np.where(bit == b, times, 0), len(node)) for b in (False, True)])
+    return _levels(node, n, _log_kt(n), ROOT, DEPTH), at, bit
+
+
+def _uints(t, name: str) -> np.ndarray:
+    return t.column(name).to_numpy().view(np.uint64)
+
+
+def _roots(t):
+    """The nodes at depth ROOT of a bucket of subtrees."""
+    top = _leaves(_uints(t, "key"), t.column("n").to_numpy())[0][0]
+    columns = [pa.array((top.node & U(255)).astype(np.int32)), longs(top.node), longs(top.n[0]), longs(top.n[1]), pa.array(top.lw)]
+    return pa.RecordBatch.from_arrays(columns, ["decision", "node", "n0", "n1", "lw"])
+
+
+def _upper(t):
+    """What the levels above ROOT give the nodes at ROOT, for the one context tree of a decision."""
+    node = _uints(t, "node")
+    order = np.argsort(node)
+    n = np.stack([t.column(c).to_numpy().astype(np.float64) for c in ("n0", "n1")])
+    levels = _levels(node[order], n[:, order], t.column("lw").to_numpy()[order], 0, ROOT)
+    root = np.ones(len(levels[0].node))
+    mixed, left, p = _down(levels[:-1], (root * 0, root, root / 2), levels[-1])
+    return pa.RecordBatch.from_arrays([longs(levels[-1].node), pa.array(mixed), pa.array(left), pa.array(p)], ["node", "mixed", "left", "p"])
+
+
+def _bytes(bucket, keys, roots):
+    """(key, value): log10 probability of the key's byte after its context, for a bucket of subtrees."""
+    key = _uints(keys, "key")
+    levels, at, bit = _leaves(key, keys.column("n").to_numpy())
+    order = np.argsort(_uints(roots, "node"))
+    given = tuple(roots.column(c).to_numpy()[order] for c in ("mixed", "left", "p"))
+    p = _down(levels, given)[2][at]
+    value = np.log10(np.where(bit, p, 1 - p)).reshape(-1, 8).sum(axis=1)
+    return pa.table([longs(key), pa.array(value)], ["key", "value"])
+
+
+def byte_scores(keys: DataFrame) -> DataFrame:
+    """(key, value) for each row of ``keys`` (key, n): its log10 probability under the tree of the counts n."""
+    buckets = 1 + keys.count() // KEYS
+
+    def bucket(node: str):
+        return F.expr(f"cast(pmod(xxhash64(shiftright({node}, 8) & {(1 << 8 * ROOT) - 1}L), {buckets}) as int)")
+
+    dealt = keys.select(bucket("key").alias("bucket"), "key", "n")
+    roots = staged(grouped_arrow(dealt, ["bucket"], _roots, "decision int, node long, n0 long, n1 long, lw double"))
+    top = staged(grouped_arrow(roots, ["decision"], _upper, "node long, mixed double, left double, p double"))
+    top = top.withColumn("bucket", bucket("node"))
+    return dealt.groupBy("bucket").cogroup(top.groupBy("bucket")).applyInArrow(_bytes, "key long, value double")
 
 
 def _score(total: int, kinds: int):
@@ -185,7 +229,8 @@ def _score(total: int, kinds: int):
         out = []
         for b in parts(docs.to_batches()):
             row, g = grams(b.column("text"))
-            score = np.bincount(row, table[0][1][np.searchsorted(table[0][0], g)], len(b))
+            order = np.argsort(g)  # looked up in order, so that the table is read in order
+            score = np.bincount(row[order], table[0][1][np.searchsorted(table[0][0], g[order])], len(b))
             w = Words(b.column("text"), NOT_SPACE)
             end = table[1][1][np.searchsorted(table[1][0], U(END))]
             c = table[1][1][np.searchsorted(table[1][0], w.hash)] if len(w.hash) else np.zeros(0)
@@ -222,8 +267,7 @@ def score_texts(docs: DataFrame, folds: int = 7) -> DataFrame:
     keys = staged(totals.where("kind = 0").select("key", "n"))
     words = staged(totals.where("kind = 1").select("key", F.col("n").cast("double").alias("value")))
     size = words.agg(F.coalesce(F.sum("value"), F.lit(0.0)).cast("long"), F.count(F.expr("if(value > 0, 1, null)"))).first()
-    log = _log10(tree(keys.where("n > 0")), keys.select("key"))
-    values = log.withColumn("kind", F.lit(0)).unionByName(words.withColumn("kind", F.lit(1)))
+    values = byte_scores(keys).withColumn("kind", F.lit(0)).unionByName(words.withColumn("kind", F.lit(1)))
     known = seen.select("kind", "key", "block").join(values, ["kind", "key"])
     return (
         d.groupBy("block").cogroup(known.select("block", "kind", "key", "value").groupBy("block"))
