@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 _P, _PI = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Setting by which Spark deletes an execution's shuffle files when it ends.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Text bytes that one vectorised step handles; larger batches are cut at word ends.
 STEP = 1 << 20
 
@@ -30,10 +32,17 @@ def stage_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet to the shared folder and read it back: lineage ends there."""
-    path = f"{stage_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` once as Parquet to the shared folder and read it back: lineage ends there, and the shuffle files of
+    the write are released with it."""
+    spark = df.sparkSession
+    path = f"{stage_dir(spark)}/llm-{uuid.uuid4().hex}"
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(RELEASE, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def lower_ascii(c: Column) -> Column:

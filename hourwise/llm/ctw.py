@@ -34,9 +34,11 @@ from pyspark.sql import functions as F
 from hourwise.llm.common import LOWER, NOT_SPACE, U, Words, grouped_arrow, longs, parts, staged, text_buffer
 from hourwise.llm.toxicity import held_out
 
-DEPTH, BLOCK = 6, 16 << 20
+DEPTH, BLOCK = 6, 64 << 20
 #: Depth of the subtrees' roots, and keys in a bucket of subtrees.
 ROOT, KEYS = 3, 1 << 17
+#: Keys that a block gathers at least before it merges them.
+PENDING = 1 << 21
 #: The end token's key among the words.
 END = 0x0E4D
 
@@ -102,6 +104,10 @@ def _report(batches):
             w = Words(b.column("text"), NOT_SPACE)
             v, c = _sums([np.concatenate([w.hash, np.full(len(learn), END, np.uint64)])], [np.concatenate([learn[w.row], learn]).astype(np.int64)])
             got[1][0].append(v), got[1][1].append(c)
+            for k, t in got.values():
+                if sum(map(len, k[1:])) > max(PENDING, len(k[0])):  # [0] holds what is merged
+                    merged = _sums(k, t)
+                    k[:], t[:] = [merged[0]], [merged[1]]
     yield from flush()
 
 
@@ -267,8 +273,8 @@ def score_texts(docs: DataFrame, folds: int = 7) -> DataFrame:
     keys = staged(totals.where("kind = 0").select("key", "n"))
     words = staged(totals.where("kind = 1").select("key", F.col("n").cast("double").alias("value")))
     size = words.agg(F.coalesce(F.sum("value"), F.lit(0.0)).cast("long"), F.count(F.expr("if(value > 0, 1, null)"))).first()
-    values = byte_scores(keys).withColumn("kind", F.lit(0)).unionByName(words.withColumn("kind", F.lit(1)))
-    known = seen.select("kind", "key", "block").join(values, ["kind", "key"])
+    values = staged(byte_scores(keys)).withColumn("kind", F.lit(0)).unionByName(words.withColumn("kind", F.lit(1)))
+    known = staged(seen.select("kind", "key", "block").join(values, ["kind", "key"]))
     return (
         d.groupBy("block").cogroup(known.select("block", "kind", "key", "value").groupBy("block"))
         .applyInArrow(_score(size[0], size[1]), _SCHEMA)
