@@ -34,11 +34,13 @@ from pyspark.sql import functions as F
 from hourwise.llm.common import LOWER, NOT_SPACE, U, Words, grouped_arrow, longs, parts, staged, text_buffer
 from hourwise.llm.toxicity import held_out
 
-DEPTH, BLOCK = 6, 64 << 20
+DEPTH, BLOCK = 5, 64 << 20
 #: Depth of the subtrees' roots, and keys in a bucket of subtrees.
 ROOT, KEYS = 3, 1 << 17
 #: Keys that a block gathers at least before it merges them.
 PENDING = 1 << 21
+#: Text bytes worked at a time.
+SLICE = 1 << 20
 #: The end token's key among the words.
 END = 0x0E4D
 
@@ -89,7 +91,7 @@ def _report(batches):
                     )
             k.clear(), t.clear()
 
-    for part in parts(batches):
+    for part in parts(batches, limit=SLICE):
         ids = part.column("block").to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
         for a, z in zip(cuts, cuts[1:]):
@@ -233,7 +235,7 @@ def _score(total: int, kinds: int):
             order = np.argsort(keys)
             table.append((keys[order], known.column("value").to_numpy()[at][order]))
         out = []
-        for b in parts(docs.to_batches()):
+        for b in parts(docs.to_batches(), limit=SLICE):
             row, g = grams(b.column("text"))
             order = np.argsort(g)  # looked up in order, so that the table is read in order
             score = np.bincount(row[order], table[0][1][np.searchsorted(table[0][0], g[order])], len(b))
