@@ -29,6 +29,9 @@ RANGE_O = (dt.date(1996, 2, 1), dt.date(1996, 2, 29))  # O: a leap-year February
 FIXTURES: dict[str, tuple[Callable[..., DataFrame], TrafficConfig]] = {
     "E": (src.from_events, config.EVENTS),
     "O": (src.from_orders, config.ORDERS),
+    # parity mode: the original's fixed constants, keys without years
+    "EP": (src.from_events, config.REFERENCE),
+    "OP": (src.from_orders, config.REFERENCE),
 }
 
 
@@ -97,6 +100,21 @@ def _load_csv(b: DataFrame, cfg: TrafficConfig) -> DataFrame:
     return src.read_csv(spark, path)
 
 
+def _read_view(query: str):
+    """SQL over the registered views, as their users read them."""
+
+    def op(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
+        views.register_views(r, cfg, readings_view=None)
+        return r.sparkSession.sql(query)
+
+    return op
+
+
+def _exec(section: int):
+    """Section (from 1) of the executive report."""
+    return lambda r, c: reports.executive_report(r, c)[reports.EXEC_TITLES[section - 1]]
+
+
 def _enriched_preview(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     """First 8 enriched readings: the enrichment is a projection in the scan stage and
     ``orderBy().limit()`` plans a per-task top-8 (TakeOrderedAndProject).  (Enriching only
@@ -142,25 +160,25 @@ def _specs() -> list[QuerySpec]:
         QuerySpec("moving_3row_avg_scaled", "E", _x2),
         # Views and their readers
         QuerySpec("vw_daily_summary", "E", views.daily_summary),
-        QuerySpec("vw_daily_summary_top10", "E", views.daily_summary_top),
-        QuerySpec("vw_hourly_pattern", "E", views.hourly_pattern_sorted),
-        QuerySpec("vw_monthly_kpi", "O", views.monthly_kpi_sorted),
+        QuerySpec("vw_daily_summary_top10", "E", _read_view("SELECT * FROM vw_daily_summary ORDER BY daily_total DESC, traffic_date LIMIT 10")),
+        QuerySpec("vw_hourly_pattern", "E", _read_view("SELECT * FROM vw_hourly_pattern ORDER BY hour_of_day, is_business_hr")),
+        QuerySpec("vw_monthly_kpi", "O", _read_view("SELECT * FROM vw_monthly_kpi ORDER BY traffic_year, traffic_month")),
         QuerySpec("vw_spike_events", "E", views.spike_events),
-        QuerySpec("vw_spike_events_top15", "E", views.spike_events_top),
+        QuerySpec("vw_spike_events_top15", "E", _read_view("SELECT * FROM vw_spike_events ORDER BY traffic_count DESC, record_id LIMIT 15")),
         # Reports
-        QuerySpec("daily_report_summary", "E", lambda r, c: reports.day_summary(r, c, d)),
-        QuerySpec("daily_report_hours", "E", lambda r, c: reports.day_hours(r, c, d)),
-        QuerySpec("range_report_summary", "O", lambda r, c: reports.range_summary(r, c, *RANGE_O)),
-        QuerySpec("range_report_daily", "O", lambda r, c: reports.range_daily(r, c, *RANGE_O)),
-        QuerySpec("range_report_hours", "E", lambda r, c: reports.range_hours(r, c, *RANGE_E)),
-        QuerySpec("exec_overview", "E", reports.overview_short),
-        QuerySpec("exec_monthly", "O", views.monthly_kpi_sorted),
-        QuerySpec("exec_hourly", "E", views.hourly_pattern_sorted),
-        QuerySpec("exec_weekday_weekend", "E", summaries.weekday_weekend_exec),
-        QuerySpec("exec_top_days", "E", lambda r, c: reports.day_totals_ranked(r, c, 10, True)),
-        QuerySpec("exec_low_days", "E", lambda r, c: reports.day_totals_ranked(r, c, 10, False)),
-        QuerySpec("exec_spikes", "E", lambda r, c: views.spike_events_top(r, c, 10)),
-        QuerySpec("exec_categories", "E", summaries.category_shares),
+        QuerySpec("daily_report_summary", "E", lambda r, c: reports.daily_report(r, c, d)["summary"]),
+        QuerySpec("daily_report_hours", "E", lambda r, c: reports.daily_report(r, c, d)["hours"]),
+        QuerySpec("range_report_summary", "O", lambda r, c: reports.range_report(r, c, *RANGE_O)["summary"]),
+        QuerySpec("range_report_daily", "O", lambda r, c: reports.range_report(r, c, *RANGE_O)["daily"]),
+        QuerySpec("range_report_hours", "E", lambda r, c: reports.range_report(r, c, *RANGE_E)["hours"]),
+        QuerySpec("exec_overview", "E", _exec(1)),
+        QuerySpec("exec_monthly", "O", _exec(2)),
+        QuerySpec("exec_hourly", "E", _exec(3)),
+        QuerySpec("exec_weekday_weekend", "E", _exec(4)),
+        QuerySpec("exec_top_days", "E", _exec(5)),
+        QuerySpec("exec_low_days", "E", _exec(6)),
+        QuerySpec("exec_spikes", "E", _exec(7)),
+        QuerySpec("exec_categories", "E", _exec(8)),
         # Insights
         QuerySpec("insight_scaling", "E", insights.scaling_windows),
         QuerySpec("insight_maintenance", "E", insights.maintenance_window),
@@ -168,6 +186,14 @@ def _specs() -> list[QuerySpec]:
         QuerySpec("insight_weekend", "E", insights.weekend_profile),
         QuerySpec("insight_mom_growth", "O", trends.mom_growth),
         QuerySpec("insight_consistency", "E", insights.consistency_score),
+        # Parity mode: fixed constants, months and weeks without their years
+        QuerySpec("parity_monthly_summary", "OP", summaries.monthly_summary),
+        QuerySpec("parity_weekly_totals", "OP", summaries.weekly_totals),
+        QuerySpec("parity_rank_in_month", "OP", trends.rank_in_month),
+        QuerySpec("parity_cumulative_total", "OP", trends.cumulative_total),
+        QuerySpec("parity_mom_growth", "OP", trends.mom_growth),
+        QuerySpec("parity_spike_events", "EP", views.spike_events),
+        QuerySpec("parity_weekday_weekend", "EP", summaries.weekday_weekend_exec),
     ]
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourwise.config import TrafficConfig
@@ -42,19 +42,13 @@ def _date(d: dt.date | str) -> Column:
 
 # Procedure 1 ------------------------------------------------------------------------------
 def day_summary(r: DataFrame, cfg: TrafficConfig, day: dt.date | str) -> DataFrame:
-    """One row for ``day``; its rank = 1 + number of days with a larger total.
+    """One row for ``day`` with the rank of its total among all days.
 
-    For a date without readings the aggregate still returns one row (count 0, NULL
-    totals) and rank 1, because ``total > NULL`` matches no day.  The day filter on
-    ``to_date(traffic_time)`` reaches the Parquet scan as a time-range predicate.
+    The readings are read once: every day becomes one row with all measures, the days are
+    ranked (thousands of rows, even for decades), and the day is picked.  For a date without
+    readings the row has count 0, NULL measures and rank 1.
     """
-    d = _date(day)
-    on_day = r.filter(F.col("traffic_date") == d)
-    day_total = on_day.agg(F.sum("traffic_count")).scalar()
-    day_totals = r.groupBy("traffic_date").agg(F.sum("traffic_count").alias("_dt"))
-    rank = day_totals.filter(F.col("_dt") > day_total).agg(count_all() + 1).scalar()
-    return on_day.agg(
-        d.alias("report_date"),
+    days = r.groupBy("traffic_date").agg(
         F.max("day_name").alias("day_of_week"),
         F.max("month_name").alias("month"),
         count_all().alias("total_readings"),
@@ -63,7 +57,16 @@ def day_summary(r: DataFrame, cfg: TrafficConfig, day: dt.date | str) -> DataFra
         F.max("traffic_count").alias("peak_traffic"),
         F.min("traffic_count").alias("min_traffic"),
         sum_long("is_spike").alias("spike_hours"),
-    ).select("*", rank.alias("traffic_rank_among_all_days"))
+    )
+    place = F.rank().over(Window.orderBy(F.desc("total_traffic"))).cast("bigint")
+    ranked = days.withColumn("traffic_rank_among_all_days", place)
+    absent = {"total_readings": 0, "traffic_rank_among_all_days": 1}
+    measures = [F.max(c).alias(c) for c in ranked.columns if c != "traffic_date"]
+    return ranked.filter(F.col("traffic_date") == _date(day)).agg(*measures).select(
+        _date(day).alias("report_date"),
+        *(F.coalesce(F.col(c), F.lit(absent[c]).cast("bigint")).alias(c) if c in absent else c
+          for c in ranked.columns if c != "traffic_date"),
+    )
 
 
 SPIKE_MARK = "⚠ SPIKE"

@@ -56,7 +56,7 @@ def test_top_k_reports_never_sort_globally(spark, sf0001, qs, key):
     assert "rangepartitioning" not in text
 
 
-@pytest.mark.parametrize("key", ["daily_report_summary", "daily_report_hours", "range_report_daily"])
+@pytest.mark.parametrize("key", ["daily_report_hours", "range_report_summary", "range_report_daily"])
 def test_date_filters_reach_the_scan(spark, sf0001, qs, key):
     df = qs[key](spark, sf0001)
     text = plan_text(df)

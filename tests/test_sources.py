@@ -99,9 +99,9 @@ def test_stored_enriched_table_prunes_days(spark, sf0001, scratch):
     assert stored.dtypes == live.dtypes
     assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, live.collect()))
     # A day report over the stored table reads one day folder for its filtered part.
-    rep = reports.day_summary(stored, EVENTS, "2024-01-02")
+    rep = reports.day_hours(stored, EVENTS, "2024-01-02")
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
         rep.explain("formatted")
     assert "PartitionFilters: [isnotnull(traffic_date" in buf.getvalue()
-    assert rep.first() == reports.day_summary(live, EVENTS, "2024-01-02").first()
+    assert rep.first() == reports.day_hours(live, EVENTS, "2024-01-02").first()
