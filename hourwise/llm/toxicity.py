@@ -4,11 +4,11 @@ Terms of a document are its distinct words ``[a-z0-9]`` (and everything beyond A
 bytes, each a 64-bit hash.  The machine scores w0 + sum w_i + sum over pairs <v_i, v_j>, so an insult and a group mention
 together can weigh more than their sum.
 
-Fitting: labelled documents whose crc32(doc_id) mod 4 is not 2.  The cluster counts, over all of them, in how many documents of
-each label a term stands; the ``TERMS`` terms that tell the labels apart best (at least ``MIN_DOCS`` distinct documents) are the
-model's inputs.  The weights are fitted in one task on at most ``SAMPLE`` of these documents of each label (the ones with the
-least hash of the id; equal texts once), which hold the selected terms only.  The model has TERMS x (2 + RANK) numbers
-whatever the input, so it is broadcast.
+Fitting: the distinct texts of labelled documents whose crc32(doc_id) mod 4 is not 2; copies are one text, of the largest label
+among them.  The cluster counts, over all of them, in how many texts of each label a term stands; the ``TERMS`` terms that tell
+the labels apart best (in at least ``MIN_DOCS`` texts) are the model's inputs.  The weights are fitted in one task on at most
+``SAMPLE`` of these texts of each label (the ones with the least hash of the text), which hold the selected terms only.  The
+model has TERMS x (2 + RANK) numbers whatever the input, so it is broadcast.
 
 Scoring is one pass over whole texts.  ``labels``, ``lang``, ``source`` and ``doc_id`` are no inputs of a score.
 
@@ -150,10 +150,10 @@ def _fit(n: int):
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, bytes | None]:
     """(sorted term hashes, the machine) from the labelled documents outside the held-out fold."""
     y = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
-    train = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    train = staged(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
         .where(~held_out(F.col("doc_id"), 4)).join(y.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
-        .select("toxic", F.xxhash64("doc_id").alias("pick"), "text")
+        .groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", F.xxhash64("text").alias("pick"), "text")
     )
     totals = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     if len(totals) < 2:
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, bytes | None]:
         last = of.select("pick").orderBy("pick").limit(SAMPLE).agg(F.max("pick")).first()[0]  # one number
         part = of.where(F.col("pick") <= last)
         sample = part if sample is None else sample.unionByName(part)
-    inputs = sample.dropDuplicates(["text"]).select("toxic", "text").mapInArrow(_pick(terms), "toxic long, inputs array<int>")
+    inputs = sample.select("toxic", "text").mapInArrow(_pick(terms), "toxic long, inputs array<int>")
     rows = staged(inputs).orderBy("toxic", "inputs").coalesce(1).mapInArrow(_fit(len(terms)), "model binary").collect()
     return terms, rows[0]["model"] if rows else None
 

@@ -1,10 +1,12 @@
 """Null, empty and long values, ties, repeated rows, empty tables and clashing columns; brute-force versions."""
 
+import io
 import math
 import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +147,28 @@ def test_toxicity(spark, docs):
         assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
 
 
+def labelled_docs(spark, rows):
+    """Documents and labels of (text, toxic), all outside the held-out fold."""
+    ids = (i for i in range(10**6) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(i, t, y) for i, (t, y) in zip(ids, rows)]
+    return (spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"),
+            spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int"))
+
+
+def test_toxicity_counts_distinct_texts(spark):
+    plain = [(f"calm{i % 7} sun{i % 5} n{i}", 0) for i in range(40)] + [(f"vile{i % 3} sun{i % 5} m{i}", 1) for i in range(15)]
+    long = " ".join(f"z{i}q" for i in range(3000))
+    once, model = toxicity.fit(*labelled_docs(spark, [*plain, (long, 0)]))
+    many, again = toxicity.fit(*labelled_docs(spark, [*plain, *[(long, 0)] * 30]))
+    assert len(once) and list(once) == list(many)
+    a, b = (np.load(io.BytesIO(m)) for m in (model, again))
+    assert all((a[k] == b[k]).all() for k in ("w0", "w", "v"))
+    # of copies with unlike labels the larger counts, once
+    unlike, other = toxicity.fit(*labelled_docs(spark, [*plain, *[(long, 0)] * 30, (long, 1)]))
+    want, same = toxicity.fit(*labelled_docs(spark, [*plain, (long, 1)]))
+    assert list(unlike) == list(want) and (np.load(io.BytesIO(other))["w"] == np.load(io.BytesIO(same))["w"]).all()
+
+
 def test_pii(docs):
     assert pii.find_pii(docs).count() == docs.count()
 
