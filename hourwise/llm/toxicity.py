@@ -7,13 +7,14 @@ together can weigh more than their sum.
 Fitting: the distinct texts of labelled documents whose crc32(doc_id) mod 4 is not 2; copies are one text, of the largest label
 among them.  The cluster counts, over all of them, in how many texts of each label a term stands; the ``TERMS`` terms that tell
 the labels apart best (in at least ``MIN_DOCS`` texts) are the model's inputs.  The weights are fitted in one task on at most
-``SAMPLE`` of these texts of each label (the ones with the least hash of the text), which hold the selected terms only.  The
+``SAMPLE`` of these texts of each label (the ones with the least hash of the text), which hold the selected terms only.  Both
+labels weigh the same there, and a text without inputs, not toxic, weighs as much as a label does, which holds w0 down.  The
 model has TERMS x (2 + RANK) numbers whatever the input, so it is broadcast.
 
 Scoring is one pass over whole texts.  ``labels``, ``lang``, ``source`` and ``doc_id`` are no inputs of a score.
 
-Edge cases: null and empty texts have no terms and score the bias alone; without labels of both kinds every score is 0;
-repeated labels of a document count once, the larger wins; repeated rows get the same score.
+Edge cases: texts without any of the inputs (null, empty, no words, unknown words only) give no evidence and score 0, whatever
+the bias; without labels of both kinds every score is 0; repeated labels of a document count once, the larger wins; repeated rows get the same score.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ class Machine:
         return out
 
     def fit(self, docs: list[np.ndarray], y: np.ndarray) -> Machine:
-        """Adagrad over mini-batches of 64; both labels weigh the same."""
+        """Adagrad over mini-batches of 64; both labels weigh the same, as does a text without inputs of label 0."""
         rng = np.random.default_rng(11)
         weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
         g0, gw, gv = 1e-8, np.full(len(self.w), 1e-8), np.full(self.v.shape, 1e-8)
@@ -115,8 +116,9 @@ class Machine:
                 at = np.concatenate([docs[i] for i in ids]).astype(np.int64) if len(row) else np.zeros(0, np.int64)
                 p = 1 / (1 + np.exp(-np.clip(self.raw(row, at, len(ids)), -30, 30)))
                 err = (p - y[ids]) * weight[ids] / len(ids)
-                g0 += err.sum() ** 2
-                self.w0 -= RATE * err.sum() / np.sqrt(g0)
+                d = err.sum() + 0.5 / (1 + np.exp(-np.clip(self.w0, -30, 30)))  # the text without inputs
+                g0 += d * d
+                self.w0 -= RATE * d / np.sqrt(g0)
                 used, back = np.unique(at, return_inverse=True)
                 d = np.bincount(back, err[row], len(used)) + L2 * self.w[used]
                 gw[used] += d * d
@@ -195,6 +197,7 @@ def score(docs: DataFrame, terms: np.ndarray, model: bytes | None) -> DataFrame:
             if m:
                 row, at = _inputs(b.column("text"), t)
                 p = 1 / (1 + np.exp(-np.clip(m.raw(row, at, n), -30, 30)))
+                p[np.bincount(row, minlength=n) == 0] = 0.0
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(p, pa.float64())], [*names, "llm_score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", llm_score double"

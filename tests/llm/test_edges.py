@@ -169,6 +169,19 @@ def test_toxicity_counts_distinct_texts(spark):
     assert list(unlike) == list(want) and (np.load(io.BytesIO(other))["w"] == np.load(io.BytesIO(same))["w"]).all()
 
 
+@pytest.mark.parametrize("toxic", [12, 40, 90])
+def test_texts_without_inputs_are_not_toxic(spark, toxic):
+    """Whatever share of the labels is toxic; the pipeline keeps such rows."""
+    d, y = labelled_docs(spark, [(f"calm{i % 7} sun{i % 5} n{i}", 0) for i in range(100 - toxic)] + [(f"vile{i % 3} sun{i % 5} m{i}", 1) for i in range(toxic)])
+    terms, model = toxicity.fit(d, y)
+    assert model
+    known = [(-5, "vile0 sun1"), (-6, "calm0 sun1")]
+    more = spark.createDataFrame([(-1, None), (-2, ""), (-3, " \t\n"), (-4, "qqxz zzqj"), *known], "doc_id long, text string")
+    got = {r.doc_id: r.llm_score for r in toxicity.score(more, terms, model).collect()}
+    assert [got[i] for i in (-1, -2, -3, -4)] == [0.0] * 4
+    assert got[-5] >= toxicity.THRESHOLD and got[-5] > got[-6] > 0
+
+
 def test_pii(docs):
     assert pii.find_pii(docs).count() == docs.count()
 
