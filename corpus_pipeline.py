@@ -9,7 +9,7 @@ copies of anything) and offer no tokens to the mix; more columns than those of d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourwise.llm.common import row_key, staged
@@ -25,22 +25,19 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near copies: of the smallest doc_id, and of its repeated rows the first text."""
-    from hourwise.llm.minhash import near_duplicates
-
-    found = near_duplicates(docs.select("doc_id", "text"))
-    keyed = docs.withColumn("llm_rk", row_key(F.col("doc_id"), F.col("text")))
-    one = Window.partitionBy("llm_group", "llm_doc").orderBy("llm_rk")
-    groups = staged(
-        found.where("kept or doc_id is null").select(F.col("doc_id").alias("llm_doc"), "node", F.col("component_id").alias("llm_group")).distinct()
-    )
-    # rows that share doc_id and group differ in text at most: the one of the least key stays
-    rows = keyed.select("doc_id", "llm_rk").distinct().join(
-        groups.select("llm_doc", "llm_group").distinct(), F.col("doc_id").eqNullSafe(F.col("llm_doc"))
-    )
-    first = rows.withColumn("llm_n", F.row_number().over(one)).where("llm_n = 1 or doc_id is null").select("llm_rk").distinct()
-    kept = keyed.join(first, "llm_rk", "left_semi")
-    return kept.dropDuplicates(["llm_rk"]).select(*_names(docs))
+    """Keeps one row of each group of near copies: of the smallest doc_id (null only where all are), then of the least row
+    key.  Rows without words are copies of nothing and all stay."""
+    from hourwise.llm.minhash import components_of
+
+    rk = row_key(F.col("doc_id"), F.col("text"))
+    found = components_of(docs.select("doc_id", "text"), rk).where("n > 0")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("first"))
+    keep = staged(first.select(F.col("first.rk").alias("llm_rk")))
+    # white space as minhash has it
+    blank = F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "") == ""
+    # repeats of a row go before the join, where a hot one is cut down in each task
+    rows = docs.where(~blank).withColumn("llm_rk", rk).dropDuplicates(["llm_rk"])
+    return rows.join(keep, "llm_rk", "left_semi").select(*_names(docs)).unionByName(docs.where(blank))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

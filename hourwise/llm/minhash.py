@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourwise.llm.common import NOT_SPACE, U, Words, block_pairs, grouped_arrow, longs, mix, parts, staged
@@ -100,12 +100,13 @@ def _sketch(k: int):
             regs = [registers(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
+                    b.column("rk"),
                     b.column("doc_id").cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([r.tobytes() if r is not None else None for r in regs], pa.binary()),
                 ],
-                ["doc_id", "n", "node", "regs"],
+                ["rk", "doc_id", "n", "node", "regs"],
             )
 
     return run
@@ -217,19 +218,19 @@ def _verified(cand: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text; more columns are ignored): doc_id, n_shingles, component_id, kept,
-    and the set's 128-bit digest ``node`` (null for an empty set)."""
-    spark: SparkSession = docs.sparkSession
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = staged(text.mapInArrow(_sketch(k), "doc_id long, n long, node binary, regs binary"))
+def components_of(docs: DataFrame, key: Column | None = None, k: int = 5, percent: int = 85) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text; more columns are ignored): rk (the row's ``key``), doc_id, n, the set's
+    128-bit digest ``node`` and the least digest ``component`` of its group (both null for an empty set)."""
+    rk = F.lit(None).cast("string") if key is None else key
+    text = docs.select(rk.alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketch = staged(text.mapInArrow(_sketch(k), "rk string, doc_id long, n long, node binary, regs binary"))
     nodes = sketch.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("regs").alias("regs"))
     keyed = nodes.select("node", "regs").mapInArrow(_explode_bands, "bkey long, node binary")
     shared = keyed.groupBy("bkey").agg(F.count("*").alias("c")).where("c > 1").select("bkey")
     member = staged(keyed.join(shared, "bkey", "left_semi"))
     wanted = member.select("node").distinct()
     sets = staged(
-        text.mapInArrow(_sets(k), "node binary, shingles array<long>")
+        text.select("text").mapInArrow(_sets(k), "node binary, shingles array<long>")
         .join(wanted, "node", "left_semi")
         .dropDuplicates(["node"])
     )
@@ -243,8 +244,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
         found = found if links is None else found.unionByName(links)
         comp = components(found)
         links = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    labelled = sketch.select("doc_id", "n", "node").join(comp, "node", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "node"))
+    labelled = sketch.select("rk", "doc_id", "n", "node").join(comp, "node", "left")
+    return labelled.withColumn("component", F.coalesce("component", "node"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text; more columns are ignored): doc_id, n_shingles, component_id, kept,
+    and the set's 128-bit digest ``node`` (null for an empty set)."""
+    labelled = components_of(docs, None, k, percent).drop("rk")
     # a row without words is a group of its own
     group = labelled.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     full = labelled.where("n > 0").join(group, "component").unionByName(
