@@ -58,6 +58,18 @@ def row_key(doc_id: Column, text: Column) -> Column:
     )
 
 
+def free_names(used: list[str], *wanted: str) -> list[str]:
+    """Names like ``wanted`` that are not among ``used``, in any case of letters."""
+    taken = {c.lower() for c in used}
+    out = []
+    for w in wanted:
+        while w.lower() in taken:
+            w += "_"
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads all input bits."""
     x = x ^ (x >> U(30))

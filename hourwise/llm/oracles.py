@@ -104,10 +104,23 @@ y AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source
 SELECT doc_id, domain, lang, source, n_tokens, e::INTEGER AS epoch FROM x, unnest(range(0, whole)) t(e)
 UNION ALL SELECT doc_id, domain, lang, source, n_tokens, whole::INTEGER FROM y WHERE run <= rest"""
 
+LINES = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT doc_id, line, i, coalesce(keeper <> doc_id, false) AS gone FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id"""
+
 ORACLES = {
     "op1_url_filters": URLS,
     "op2_decontamination": DECONTAMINATION,
     "op7_embeddings": EMBEDDINGS,
     "op8_mixing": MIXING,
     "op9_minhash": NEAR_DUPLICATES,
+    "op13_line_dedup": LINES,
 }

@@ -81,11 +81,58 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("node")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with the query's runs: with h = crc32(doc_id as text) and g = floor(h / 10), a text of n > 0
+    words whose h ends in 0 becomes its words, word i >= a replaced by word a + (i - a) % p; a = g % n, p = 1 + floor((n - a) /
+    (3 + g % 8)).  The words are then joined by one space."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    d = docs.select("doc_id", "text", F.when(h % 10 == 0, F.floor(h / 10)).alias("g"))
+    words = F.regexp_extract_all(F.when(F.col("g").isNotNull(), F.coalesce("text", F.lit(""))), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    d = d.withColumn("w", words).withColumn("n", F.size("w"))
+    d = d.withColumn("a", F.expr("int(if(n > 0, g % n, 0))")).withColumn("p", F.expr("int(1 + floor((n - a) / (3 + g % 8)))"))
+    planted = (
+        "array_join(concat(slice(w, 1, a), slice(flatten(array_repeat(slice(w, a + 1, p), int(ceil((n - a) / p)))), 1, n - a)), ' ')"
+    )
+    return d.select("doc_id", F.expr(f"CASE WHEN n > 0 THEN {planted} ELSE text END").alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hourwise.llm.periodic import periodic_runs
+
+    docs = with_planted_runs(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    r = periodic_runs(docs).withColumn("best", F.expr("array_max(transform(runs, r -> struct(r.length, -r.start AS s, -r.period AS q)))"))
+    listed = "array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')"
+    return r.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        F.expr("-best.s AS start"), F.expr("best.length AS length"), F.expr("-best.q AS period"),
+        F.expr("(1000 * best.length) div (-best.q) AS exponent_milli"),
+        F.sha2(F.expr(listed), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hourwise.llm.whitening import whiten
+
+    w = whiten(table(spark, sf_dir, "embeddings"))
+    each = w.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation",
+        F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error",
+    )
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hourwise.llm.linededup import dedup_lines
+
+    d = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_decontamination, op3_language_model, op4_toxicity, op5_chat, op6_pii, op7_embeddings,
-        op8_mixing, op9_minhash, op10_licenses,
+        op8_mixing, op9_minhash, op10_licenses, op11_periodic_runs, op12_whitening, op13_line_dedup,
     )
 }
 
