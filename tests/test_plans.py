@@ -6,10 +6,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
-
-RAW_WINDOW_KEYS = ["ntile_quartiles_scaled", "moving_3row_avg_scaled"]
-
+from hourwise.plans.catalog import query_functions
 
 def plan_text(df):
     buf = io.StringIO()
@@ -20,27 +17,42 @@ def plan_text(df):
 
 @pytest.fixture(scope="module")
 def qs():
-    return entry.queries()
+    return query_functions()
 
 
 def test_no_python_udfs_anywhere(spark, sf0001, qs):
     for key, fn in qs.items():
-        if key in RAW_WINDOW_KEYS:
-            continue  # these stage data eagerly; covered below
         text = plan_text(fn(spark, sf0001))
-        assert "PythonUDF" not in text and "ArrowEvalPython" not in text and "BatchEvalPython" not in text, key
+        assert not re.search("PythonUDF|EvalPython|InPandas|InArrow|ExistingRDD", text), key
 
 
-@pytest.mark.parametrize("key", RAW_WINDOW_KEYS)
-def test_scaled_windows_never_single_partition_over_readings(spark, sf0001, qs, key):
-    df = qs[key](spark, sf0001)
-    text = plan_text(df)
-    # The main Window is partitioned (by block); a SinglePartition exchange may only
-    # feed the per-bucket count table, which is then broadcast.
-    assert "BroadcastHashJoin" in text
-    assert "Exchange" in text
-    if key == "moving_3row_avg_scaled":
-        assert re.search(r"hashpartitioning\(_hw_block", text)
+def executed_plan(df):
+    """The plan as run, with what adaptive execution made of it."""
+    df.write.format("noop").mode("overwrite").save()
+    return plan_text(df)
+
+
+def test_quantiles_are_a_projection(spark, sf0001, qs):
+    """NTILE by selection: no shuffle, no sort and no staged copy of the readings."""
+    text = plan_text(qs["ntile_quartiles_scaled"](spark, sf0001))
+    assert "BroadcastHashJoin" in text and "events.parquet" in text and "hourwise-stage" not in text
+    assert not re.search(r"Exchange(?!Mode)\b(?! *\()|rangepartitioning|hashpartitioning|Window|SortMergeJoin|\bSort\b", text.replace("BroadcastExchange", ""))
+
+
+def test_moving_window_shuffles_readings_once(spark, sf0001):
+    from hourwise.operators import windows
+    from hourwise.sources.readings import from_events
+
+    r = from_events(spark, sf0001)
+    df = windows.moving_window(r, ["traffic_time", "record_id"], "traffic_count", 1, 1, buckets=8)
+    df = df.select("traffic_time", "traffic_count", "moving")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tree = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert tree.count("Exchange hashpartitioning") == 1 and tree.count("- Window") == 1 and tree.count("FileScan") == 1
+    assert "rangepartitioning" not in tree and "SinglePartition" not in tree and "hourwise-stage" not in tree
 
 
 TOP_K_KEYS = ["preview_first10", "enriched_preview", "top_spikes", "daily_totals_top20", "ntile_quartiles",

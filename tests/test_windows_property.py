@@ -24,11 +24,11 @@ def frame(spark, rows):
 
 @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 @given(rows=rows_strategy, before=st.integers(0, 3), after=st.integers(0, 3),
-       extra=st.integers(0, 4), buckets=st.integers(1, 6))
-def test_moving_window_property(spark, rows, before, after, extra, buckets):
+       block=st.integers(1, 9), buckets=st.integers(1, 6))
+def test_moving_window_property(spark, rows, before, after, block, buckets):
+    """Buckets of one row up, so frames reach over several of them."""
     df = frame(spark, rows)
     keys = ["traffic_time", "record_id"]
-    block = max(before, after, 1) + extra
     w = Window.orderBy(*keys).rowsBetween(-before, after)
     want = {r.record_id: r.m for r in df.withColumn("m", F.sum("traffic_count").over(w)).collect()}
     got = {r.record_id: r.m for r in windows.moving_window(df, keys, "traffic_count", before, after, agg="sum",
