@@ -4,7 +4,7 @@ Layout:
   sources/    readings (CSV, Parquet test tables), enriched-table writer, audit log
   functions/  Column expressions (calendar, bands, shares, labels)
   operators/  enrich, summaries, trends, insights, scalable global windows
-  plans/      views, parameterised reports, shared rollup, query registry, SQL oracle
+  plans/      views, parameterised reports, shared measures, query registry, SQL oracle
   streaming/  the same daily operators over a stream of readings
 """
 

@@ -67,14 +67,6 @@ def category_distribution(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     ).orderBy(field_position("traffic_category", CATEGORY_ORDER))
 
 
-def category_shares(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
-    """Short form used by the executive report: band, readings, share."""
-    g = r.groupBy("traffic_category").agg(count_all().alias("records"))
-    return g.select(
-        "traffic_category", "records", pct("records", grand("records")).alias("pct"),
-    ).orderBy(field_position("traffic_category", CATEGORY_ORDER))
-
-
 # Q3 ---------------------------------------------------------------------------------------
 def top_spikes(r: DataFrame, cfg: TrafficConfig, n: int = 20) -> DataFrame:
     """The ``n`` largest spike readings (a per-task top-n merged on the driver)."""
@@ -211,21 +203,6 @@ def _clock(h: int) -> str:
     return f"{h}am" if h < 12 else ("12pm" if h == 12 else f"{h - 12}pm")
 
 
-def weekday_weekend_exec(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
-    """Executive-report form: shorter names, share of ``cfg.grand_total`` (or the real total)."""
-    g = r.groupBy("is_weekend").agg(
-        count_all().alias("records"),
-        avg1().alias("avg_traffic"),
-        sum_long("traffic_count").alias("total_traffic"),
-    )
-    total = F.lit(cfg.grand_total) if cfg.grand_total is not None else grand("total_traffic")
-    return g.select(
-        label_if(F.col("is_weekend") == 0, "Weekday", "Weekend").alias("day_type"),
-        "records", "avg_traffic", "total_traffic",
-        pct("total_traffic", total).alias("pct_of_total"),
-    ).orderBy("day_type")
-
-
 # Q12 --------------------------------------------------------------------------------------
 HEATMAP_DAYS = (("Monday", "Mon"), ("Tuesday", "Tue"), ("Wednesday", "Wed"), ("Thursday", "Thu"),
                 ("Friday", "Fri"), ("Saturday", "Sat"), ("Sunday", "Sun"))

@@ -18,8 +18,9 @@ from hourwise import config
 from hourwise.config import TrafficConfig
 from hourwise.operators import insights, summaries, trends, windows
 from hourwise.operators.enrich import ENRICHED_COLUMNS, enrich, spike_threshold_frame
-from hourwise.plans import reports, views
+from hourwise.plans import moments, reports, views
 from hourwise.sources import readings as src
+from hourwise.sources.stored import EnrichedTable
 
 # Report parameters (dates inside each fixture's span).
 DAILY_REPORT_DAY = dt.date(2024, 1, 15)  # E
@@ -87,25 +88,58 @@ def _x2(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     return _moving_cols(mv)
 
 
-def _load_csv(b: DataFrame, cfg: TrafficConfig) -> DataFrame:
-    """CSV source round trip: export the readings in the original CSV layout to the shared
-    checkpoint folder, then import them (typed schema, ``n.0`` counts, surrogate key)."""
+def _new_folder(spark: SparkSession, what: str) -> str:
     import uuid
 
     from hourwise.session import checkpoint_dir
 
-    spark = b.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/hourwise-csv-{uuid.uuid4().hex}"
-    src.write_csv(b, path)
-    return src.read_csv(spark, path)
+    return f"{checkpoint_dir(spark).rstrip('/')}/hourwise-{what}-{uuid.uuid4().hex}"
+
+
+def _load_csv(b: DataFrame, cfg: TrafficConfig) -> DataFrame:
+    """CSV source round trip: export the readings, in the order of their ids, in the original CSV layout to the shared
+    checkpoint folder, then import them (typed schema, ``n.0`` counts, keys by import order)."""
+    path = _new_folder(b.sparkSession, "csv")
+    src.write_csv(b.orderBy("record_id"), path)
+    return src.read_csv(b.sparkSession, path)
+
+
+def _stored(b: DataFrame, cfg: TrafficConfig) -> DataFrame:
+    """The stored enriched table: written, one day replaced by corrected readings (counts doubled), read back."""
+    table = EnrichedTable(b.sparkSession, _new_folder(b.sparkSession, "enriched"), cfg)
+    table.replace_days(b)
+    day = b.where(F.to_date("traffic_time") == F.lit(DAILY_REPORT_DAY))
+    table.replace_days(day.withColumn("traffic_count", F.col("traffic_count") * 2))
+    return table.read()
+
+
+def _report_sink(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
+    """A range report written by its sink; its daily section read back."""
+    path = _new_folder(r.sparkSession, "report")
+    reports.range_report(r, cfg, *RANGE_O).write(path)
+    return r.sparkSession.read.parquet(f"{path}/daily")
+
+
+def _one_scan(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
+    """The measures behind the seven aggregate sections of the executive report, from one scan."""
+    m = moments.executive_moments(r, cfg)
+    keys = [c for c in m.columns if c not in moments.MEASURES and c != "set_id"]
+    month = F.when(F.col("set_id") == moments.EXEC_SETS.index(insights.MONTH_SET), F.col("month_days")).alias("month_days")
+    return m.select("set_id", *keys, "n", "total", F.round("mean", 1).alias("mean"), "lo", "hi", F.round("std", 1).alias("std"),
+                    "spikes", month, "first_time", "last_time")
+
+
+def _findings(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
+    sets = insights.FINDING_SETS
+    return insights.findings(moments.all_sets(moments.build_cells(r, cfg), sets), sets)
 
 
-def _read_view(query: str):
-    """SQL over the registered views, as their users read them."""
+def _read_view(name: str, rest: str):
+    """SQL over a registered view, as its users read it."""
 
     def op(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
-        views.register_views(r, cfg, readings_view=None)
-        return r.sparkSession.sql(query)
+        views.register_views(r, cfg, readings_view=None, names=[name])
+        return r.sparkSession.sql(f"SELECT * FROM {name} {rest}")
 
     return op
 
@@ -160,11 +194,11 @@ def _specs() -> list[QuerySpec]:
         QuerySpec("moving_3row_avg_scaled", "E", _x2),
         # Views and their readers
         QuerySpec("vw_daily_summary", "E", views.daily_summary),
-        QuerySpec("vw_daily_summary_top10", "E", _read_view("SELECT * FROM vw_daily_summary ORDER BY daily_total DESC, traffic_date LIMIT 10")),
-        QuerySpec("vw_hourly_pattern", "E", _read_view("SELECT * FROM vw_hourly_pattern ORDER BY hour_of_day, is_business_hr")),
-        QuerySpec("vw_monthly_kpi", "O", _read_view("SELECT * FROM vw_monthly_kpi ORDER BY traffic_year, traffic_month")),
+        QuerySpec("vw_daily_summary_top10", "E", _read_view("vw_daily_summary", "ORDER BY daily_total DESC, traffic_date LIMIT 10")),
+        QuerySpec("vw_hourly_pattern", "E", _read_view("vw_hourly_pattern", "ORDER BY hour_of_day, is_business_hr")),
+        QuerySpec("vw_monthly_kpi", "O", _read_view("vw_monthly_kpi", "ORDER BY traffic_year, traffic_month")),
         QuerySpec("vw_spike_events", "E", views.spike_events),
-        QuerySpec("vw_spike_events_top15", "E", _read_view("SELECT * FROM vw_spike_events ORDER BY traffic_count DESC, record_id LIMIT 15")),
+        QuerySpec("vw_spike_events_top15", "E", _read_view("vw_spike_events", "ORDER BY traffic_count DESC, record_id LIMIT 15")),
         # Reports
         QuerySpec("daily_report_summary", "E", lambda r, c: reports.daily_report(r, c, d)["summary"]),
         QuerySpec("daily_report_hours", "E", lambda r, c: reports.daily_report(r, c, d)["hours"]),
@@ -179,7 +213,12 @@ def _specs() -> list[QuerySpec]:
         QuerySpec("exec_low_days", "E", _exec(6)),
         QuerySpec("exec_spikes", "E", _exec(7)),
         QuerySpec("exec_categories", "E", _exec(8)),
+        QuerySpec("exec_one_scan", "E", _one_scan),
+        QuerySpec("report_sink", "O", _report_sink),
+        QuerySpec("stored_enriched", "E", _stored, on="base"),
         # Insights
+        QuerySpec("findings_events", "E", _findings),
+        QuerySpec("findings_orders", "O", _findings),
         QuerySpec("insight_scaling", "E", insights.scaling_windows),
         QuerySpec("insight_maintenance", "E", insights.maintenance_window),
         QuerySpec("insight_alerts", "E", insights.anomaly_calendar),
@@ -193,7 +232,7 @@ def _specs() -> list[QuerySpec]:
         QuerySpec("parity_cumulative_total", "OP", trends.cumulative_total),
         QuerySpec("parity_mom_growth", "OP", trends.mom_growth),
         QuerySpec("parity_spike_events", "EP", views.spike_events),
-        QuerySpec("parity_weekday_weekend", "EP", summaries.weekday_weekend_exec),
+        QuerySpec("parity_weekday_weekend", "EP", moments.SECTIONS["exec_weekday_weekend"].direct),
     ]
 
 

@@ -1,14 +1,16 @@
 """Parameterised multi-section reports (the original's stored procedures).
 
-A report is an ordered mapping ``section -> lazy DataFrame`` plus the audit entries to
-append once its sections have been produced.  Nothing is collected: the caller writes
-or displays each section (:meth:`Report.write` writes every section to Parquet and then
-appends the log entries - one job per section, one append for the log).
+A report is an ordered mapping ``section -> lazy DataFrame`` (a section's plan is built when it is
+asked for) plus the audit entries to append once its sections have been produced.  Nothing is
+collected: the caller writes or displays each section (:meth:`Report.write` writes every section to
+Parquet and then appends the log entries - one job per section, one append for the log).
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,24 +18,47 @@ from pyspark.sql import functions as F
 
 from hourwise.config import TrafficConfig
 from hourwise.functions.columns import avg1, count_all, sum_long
-from hourwise.operators import summaries
-from hourwise.plans import views
+from hourwise.plans import moments, views
 from hourwise.sources.audit import AuditLog
 
 
+class Sections(Mapping):
+    """Section name -> DataFrame, each built when it is first asked for."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]):
+        self._makers, self._made = dict(makers), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 @dataclass
 class Report:
-    sections: dict[str, DataFrame]
+    """``run_id`` names one run of the report: however often it is written again, its audit rows stand once."""
+
+    sections: Mapping[str, DataFrame]
     log_entries: list[tuple[str, str]] = field(default_factory=list)
+    run_id: str = field(default_factory=lambda: uuid.uuid4().hex)
+    #: Sections to write where they differ from those to read one by one (the executive report: all from one scan).
+    to_write: Callable[[], Mapping[str, DataFrame]] | None = None
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.sections[name]
 
     def write(self, base_path: str, audit: AuditLog | None = None, mode: str = "overwrite") -> None:
-        for name, df in self.sections.items():
+        sections = self.to_write() if self.to_write else self.sections
+        for name, df in sections.items():
             df.write.mode(mode).parquet(f"{base_path.rstrip('/')}/{name}")
         if audit is not None and self.log_entries:
-            audit.append(self.log_entries)
+            audit.append(self.log_entries, run_id=self.run_id)
 
 
 def _date(d: dt.date | str) -> Column:
@@ -90,7 +115,7 @@ EXEC_LOG_ENTRY = ("sp_executive_report", "Full report generated")
 def daily_report(r: DataFrame, cfg: TrafficConfig, day: dt.date | str) -> Report:
     d = day if isinstance(day, dt.date) else dt.date.fromisoformat(day)
     return Report(
-        {"summary": day_summary(r, cfg, d), "hours": day_hours(r, cfg, d)},
+        Sections({"summary": lambda: day_summary(r, cfg, d), "hours": lambda: day_hours(r, cfg, d)}),
         [(DAILY_LOG_NAME.format(d.isoformat()), DAILY_LOG_FINDING.format(d.isoformat()))],
     )
 
@@ -131,30 +156,14 @@ def range_hours(r: DataFrame, cfg: TrafficConfig, start: dt.date | str, end: dt.
 def range_report(r: DataFrame, cfg: TrafficConfig, start: dt.date | str, end: dt.date | str) -> Report:
     """Summary, daily breakdown and hour pattern of a date range (inclusive).  Like the
     original this report writes no audit entry."""
-    return Report({
-        "summary": range_summary(r, cfg, start, end),
-        "daily": range_daily(r, cfg, start, end),
-        "hours": range_hours(r, cfg, start, end),
-    })
+    return Report(Sections({
+        "summary": lambda: range_summary(r, cfg, start, end),
+        "daily": lambda: range_daily(r, cfg, start, end),
+        "hours": lambda: range_hours(r, cfg, start, end),
+    }))
 
 
 # Procedure 3 ------------------------------------------------------------------------------
-def overview_short(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
-    return r.agg(
-        count_all().alias("records"),
-        sum_long("traffic_count").alias("total_traffic"),
-        avg1().alias("avg_hourly"),
-        F.max("traffic_count").alias("peak"),
-        F.min("traffic_count").alias("min_traffic"),
-    )
-
-
-def day_totals_ranked(r: DataFrame, cfg: TrafficConfig, n: int = 10, highest: bool = True) -> DataFrame:
-    d = r.groupBy("traffic_date", "day_name").agg(sum_long("traffic_count").alias("daily_total"))
-    order = F.desc("daily_total") if highest else F.asc("daily_total")
-    return d.orderBy(order, "traffic_date").limit(n)
-
-
 # Section titles of the executive report, fixed values:
 EXEC_TITLES = (
     "=== 1. DATASET OVERVIEW ===",
@@ -169,19 +178,17 @@ EXEC_TITLES = (
 
 
 def executive_report(r: DataFrame, cfg: TrafficConfig) -> Report:
-    """All KPIs in eight titled sections (each an independent lazy DataFrame over ``r``).
+    """All KPIs in eight titled sections.
 
-    To answer the aggregate sections from one scan, use the cell-table forms in
-    :mod:`hourwise.plans.rollup`.
-    """
-    sections = [
-        overview_short(r, cfg),
-        views.monthly_kpi_sorted(r, cfg),
-        views.hourly_pattern_sorted(r, cfg),
-        summaries.weekday_weekend_exec(r, cfg),
-        day_totals_ranked(r, cfg, 10, highest=True),
-        day_totals_ranked(r, cfg, 10, highest=False),
-        views.spike_events_top(r, cfg, 10),
-        summaries.category_shares(r, cfg),
-    ]
-    return Report(dict(zip(EXEC_TITLES, sections)), [EXEC_LOG_ENTRY])
+    A section that is read on its own is one aggregate over ``r``.  :meth:`Report.write` answers the seven aggregate
+    sections from one scan (:func:`hourwise.plans.moments.executive_moments`); only the spike list reads the readings again."""
+
+    def sections(of: Callable[[str], DataFrame]) -> Sections:
+        spikes = lambda: views.spike_events_top(r, cfg, 10)
+        return Sections({t: (lambda n=n: of(n)) if n else spikes for t, n in zip(EXEC_TITLES, moments.EXECUTIVE)})
+
+    def one_scan() -> Sections:
+        rows = moments.materialize(moments.executive_moments(r, cfg))
+        return sections(lambda n: moments.section_of(rows, n, cfg))
+
+    return Report(sections(lambda n: moments.SECTIONS[n].direct(r, cfg)), [EXEC_LOG_ENTRY], to_write=one_scan)

@@ -6,53 +6,30 @@ it into the reader's plan, so a ``LIMIT`` on top becomes a per-task top-k.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourwise.config import TrafficConfig
-from hourwise.functions.columns import avg1, count_all, hour_label, std1, sum_long
 from hourwise.operators.enrich import z_params
-from hourwise.operators.summaries import month_keys
+from hourwise.plans import moments
+
 
 def daily_summary(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     """vw_daily_summary: one row per day.  ``peak_hour`` / ``slowest_hour`` are the
     largest / smallest reading of the day (counts, not hours), as in the original."""
-    return r.groupBy("traffic_date", "day_name", "month_name", "traffic_week", "is_weekend").agg(
-        count_all().alias("hourly_readings"),
-        sum_long("traffic_count").alias("daily_total"),
-        avg1().alias("avg_per_hour"),
-        F.max("traffic_count").alias("peak_hour"),
-        F.min("traffic_count").alias("slowest_hour"),
-        sum_long("is_spike").alias("spike_hours"),
-    )
+    return moments.SECTIONS["vw_daily_summary"].direct(r, cfg)
 
 
 def hourly_pattern_view(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     """vw_hourly_pattern: per hour (and its business-hour flag) with population std-dev."""
-    g = r.groupBy("hour_of_day", "is_business_hr").agg(
-        count_all().alias("observations"),
-        avg1().alias("avg_traffic"),
-        F.max("traffic_count").alias("max_traffic"),
-        F.min("traffic_count").alias("min_traffic"),
-        std1().alias("std_dev_traffic"),
-    )
-    return g.select(
-        "hour_of_day", hour_label("hour_of_day", named=False).alias("hour_label"), "is_business_hr",
-        "observations", "avg_traffic", "max_traffic", "min_traffic", "std_dev_traffic",
-    )
+    return moments.hourly_rows(moments.grouped(r, "hour_of_day", "is_business_hr"), cfg)
 
 
 def monthly_kpi(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
     """vw_monthly_kpi: per month, including spike readings and distinct active days."""
-    return r.groupBy("traffic_year", "traffic_month", "month_name").agg(
-        count_all().alias("hourly_readings"),
-        sum_long("traffic_count").alias("total_traffic"),
-        avg1().alias("avg_hourly_traffic"),
-        F.max("traffic_count").alias("peak_traffic"),
-        F.min("traffic_count").alias("min_traffic"),
-        sum_long("is_spike").alias("spike_count"),
-        F.countDistinct("traffic_date").alias("active_days"),
-    )
+    return moments.monthly_rows(moments.grouped(r, "traffic_year", "traffic_month", "month_name"), cfg)
 
 
 def spike_events(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
@@ -70,29 +47,30 @@ def daily_summary_top(r: DataFrame, cfg: TrafficConfig, n: int = 10) -> DataFram
 
 
 def hourly_pattern_sorted(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
-    return hourly_pattern_view(r, cfg).orderBy("hour_of_day", "is_business_hr")
+    return moments.SECTIONS["vw_hourly_pattern"].direct(r, cfg)
 
 
 def monthly_kpi_sorted(r: DataFrame, cfg: TrafficConfig) -> DataFrame:
-    kpi = monthly_kpi(r, cfg)
-    rest = [c for c in kpi.columns if c not in month_keys(cfg)]  # without year keys, months of several years tie
-    return kpi.orderBy(*month_keys(cfg), *rest)
+    return moments.SECTIONS["vw_monthly_kpi"].direct(r, cfg)
 
 
 def spike_events_top(r: DataFrame, cfg: TrafficConfig, n: int = 15) -> DataFrame:
     return spike_events(r, cfg).orderBy(F.desc("traffic_count"), "record_id").limit(n)
 
 
-def register_views(r: DataFrame, cfg: TrafficConfig, readings_view: str | None = "traffic_readings"
-                   ) -> dict[str, DataFrame]:
-    """Create or replace the four temporary views (and, under ``readings_view``, the
+VIEWS = {
+    "vw_daily_summary": daily_summary,
+    "vw_hourly_pattern": hourly_pattern_view,
+    "vw_monthly_kpi": monthly_kpi,
+    "vw_spike_events": spike_events,
+}
+
+
+def register_views(r: DataFrame, cfg: TrafficConfig, readings_view: str | None = "traffic_readings",
+                   names: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    """Create or replace the four temporary views, or only those named (and, under ``readings_view``, the
     enriched readings themselves, so ad-hoc SQL can run against them); returns them."""
-    views = {
-        "vw_daily_summary": daily_summary(r, cfg),
-        "vw_hourly_pattern": hourly_pattern_view(r, cfg),
-        "vw_monthly_kpi": monthly_kpi(r, cfg),
-        "vw_spike_events": spike_events(r, cfg),
-    }
+    views = {n: VIEWS[n](r, cfg) for n in (VIEWS if names is None else names)}
     if readings_view:
         views[readings_view] = r
     for name, df in views.items():

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,22 +78,29 @@ def from_orders(spark: SparkSession, sf_dir: str, strict: bool = False) -> DataF
                      "o_totalprice", strict)
 
 
-def read_csv(spark: SparkSession, path: str, key_buckets: int | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """The original CSV export (``Timestamp,TrafficCount`` with a header).
 
-    The file has no key; ``record_id`` is the 1-based position in time order (the
-    auto-increment key of the original import), computed with the distributed global
-    row number rather than a single-partition window.
+    The file has no key; ``record_id`` is the 1-based import order (the auto-increment key of the original import): files by
+    name, rows as they stand in them.  Rows are counted by file split in a first pass, the counts are summed up in the order
+    of (file, start of the split), and a row's number is its split's offset plus its place there.  The splits, one row for
+    each piece of a file that a task reads, are the only thing that is shuffled, sorted and broadcast; readings stay where
+    they are scanned.
     """
-    from hourwise.operators.windows import global_row_number
-
     raw = spark.read.schema(CSV_SCHEMA).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
-    base = raw.select(
+    rows = raw.select("*", F.monotonically_increasing_id().alias("_hw_id"), F.col("_metadata.file_path").alias("_hw_file"),
+                      F.col("_metadata.file_block_start").alias("_hw_from"))
+    # a task reads its splits one after the other, so the ids of a split have no gaps
+    splits = rows.groupBy("_hw_file", "_hw_from").agg(F.min("_hw_id").alias("_hw_first"), count_all().alias("_hw_n"))
+    ahead = F.sum("_hw_n").over(Window.orderBy("_hw_file", "_hw_from").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = splits.select("_hw_file", "_hw_from", (F.coalesce(ahead, F.lit(0)) - F.col("_hw_first") + 1).alias("_hw_ahead"))
+    # size bound: one row a split, 200,000 for 100 TB in splits of 512 MB
+    numbered = rows.join(F.broadcast(offsets), ["_hw_file", "_hw_from"])
+    return numbered.select(
+        (F.col("_hw_id") + F.col("_hw_ahead")).alias("record_id"),
         not_null("Timestamp", "traffic_time").alias("traffic_time"),
         count_from_double(not_null("TrafficCount", "traffic_count")).alias("traffic_count"),
     )
-    numbered = global_row_number(base, ["traffic_time", "traffic_count"], out="record_id", buckets=key_buckets)
-    return numbered.select("record_id", "traffic_time", "traffic_count")
 
 
 def write_csv(readings: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ import os
 from hourwise.config import REFERENCE
 from hourwise.operators import summaries
 from hourwise.operators.enrich import enrich
-from hourwise.plans import reports, rollup, views
+from hourwise.plans import reports, views
 from hourwise.sources.audit import AuditLog
 from hourwise.sources.readings import from_events, read_csv, read_enriched, write_csv, write_enriched
 
@@ -24,6 +24,7 @@ def test_readme_workflow(spark, sf0001, scratch):
     stored = read_enriched(spark, os.path.join(scratch, "enriched"))
     assert reports.day_summary(stored, REFERENCE, "2024-01-03").first() == \
         reports.day_summary(r, REFERENCE, "2024-01-03").first()
-    ex = rollup.executive_report(stored, REFERENCE)
-    assert len(ex.sections) == 8
+    ex = reports.executive_report(stored, REFERENCE)
+    ex.write(os.path.join(scratch, "executive"))
+    assert sorted(d for d in os.listdir(os.path.join(scratch, "executive"))) == sorted(reports.EXEC_TITLES)
     assert [x.query_name for x in log.read().collect()] == ["sp_daily_report(2024-01-03)"]

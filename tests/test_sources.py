@@ -18,9 +18,9 @@ def test_csv_counts_written_as_decimals(spark, scratch):
     with open(path, "w") as f:
         f.write("Timestamp,TrafficCount\n2020-01-20 11:00:00,8591.0\n2020-01-20 10:00:00,17.0\n"
                 "2020-01-20 12:30:00,0.0\n")
-    df = src.read_csv(spark, path, key_buckets=2).orderBy("record_id").collect()
-    assert [(r.record_id, r.traffic_time, r.traffic_count) for r in df] == [
-        (1, dt.datetime(2020, 1, 20, 10), 17), (2, dt.datetime(2020, 1, 20, 11), 8591),
+    df = src.read_csv(spark, path).orderBy("record_id").collect()
+    assert [(r.record_id, r.traffic_time, r.traffic_count) for r in df] == [  # import order
+        (1, dt.datetime(2020, 1, 20, 11), 8591), (2, dt.datetime(2020, 1, 20, 10), 17),
         (3, dt.datetime(2020, 1, 20, 12, 30), 0)]
     assert dict(src.read_csv(spark, path).dtypes) == {
         "record_id": "bigint", "traffic_time": "timestamp_ntz", "traffic_count": "int"}
@@ -30,13 +30,43 @@ def test_csv_round_trip_of_events(spark, sf0001, scratch):
     base = src.from_events(spark, sf0001)
     out = os.path.join(scratch, "events_csv")
     src.write_csv(base, out)
-    back = src.read_csv(spark, out, key_buckets=4)
+    back = src.read_csv(spark, out)
     assert back.count() == base.count()
     agg = back.agg(F.sum("traffic_count"), F.min("record_id"), F.max("record_id")).first()
     assert agg[0] == base.agg(F.sum("traffic_count")).first()[0]
     assert (agg[1], agg[2]) == (1, base.count())
 
 
+def test_csv_keys_follow_files_and_splits(spark, scratch):
+    """Several files of several splits, packed into tasks by size: keys are the import order, the same in every read,
+    and no reading is shuffled or sorted."""
+    counts = {"a.csv": 400, "b.csv": 3, "c.csv": 900, "d.csv": 0}
+    lines = []
+    os.makedirs(os.path.join(scratch, "in"))
+    for name, n in counts.items():
+        mine = [f"2020-01-20 11:00:{i % 60:02d},{(7919 * i + len(name)) % 1000}.0" for i in range(n)]
+        lines += mine
+        with open(os.path.join(scratch, "in", name), "w") as f:
+            f.write("Timestamp,TrafficCount\n" + "".join(x + "\n" for x in mine))
+    keys = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        df = src.read_csv(spark, os.path.join(scratch, "in"))
+        for _ in range(2):
+            got = sorted((r.record_id, f"{r.traffic_time},{r.traffic_count}.0") for r in df.collect())
+            assert got == list(enumerate(lines, 1))
+        assert df.where("traffic_count > 500").select("record_id").count() == sum(float(x.split(",")[1]) > 500 for x in lines)
+        assert df.rdd.getNumPartitions() > 5
+        tree = src.read_csv(spark, os.path.join(scratch, "in"))._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in tree and "BroadcastHashJoin" in tree
+        assert tree.count("Exchange hashpartitioning") == tree.count("Exchange hashpartitioning(_hw_file") == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_not_null_is_enforced(spark, scratch):
     path = os.path.join(scratch, "bad.csv")
     with open(path, "w") as f:

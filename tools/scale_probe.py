@@ -1,8 +1,8 @@
-"""Where do the scaled global windows (and the shared rollup) pay off?
+"""Where do the scaled global windows (and the one-scan sections) pay off?
 
 Derives larger readings from the sf0.1 events inside Spark (``copies`` shifted copies
 with distinct ids and times; nothing written) and times plain vs scaled NTILE(4) and
-3-row moving average, and direct vs rollup aggregate sections, with the noop sink.  Diagnostic only, not a registered query.
+3-row moving average, and aggregate sections from one scan each vs one for all, with the noop sink.  Diagnostic only, not a registered query.
 
 usage: python tools/scale_probe.py [copies ...]
        python tools/scale_probe.py --dir DIR   (a folder with an events.parquet, e.g. a
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from hourwise.config import EVENTS  # noqa: E402
 from hourwise.operators import windows  # noqa: E402
 from hourwise.operators.enrich import enrich  # noqa: E402
-from hourwise.plans import rollup  # noqa: E402
+from hourwise.plans import moments  # noqa: E402
 from hourwise.session import checkpoint_dir, local_session  # noqa: E402
 from hourwise.sources.readings import from_events  # noqa: E402
 
@@ -64,17 +64,18 @@ def main() -> None:
         w = Window.orderBy(*keys_t).rowsBetween(-1, 1)
         row["moving_plain"] = timed(lambda: r.withColumn("m", F.avg("traffic_count").over(w)))
         row["moving_scaled"] = timed(lambda: windows.moving_window(r, keys_t, "traffic_count", 1, 1, out="m"))
-        # Nine aggregate sections: one scan each vs one shared cell table.
+        # Seven aggregate sections: one scan each vs one scan for all.
         e = enrich(r, EVENTS)
+        names = [n for n in moments.EXECUTIVE if n]
         t0 = time.perf_counter()
-        for fn in rollup.direct_sections().values():
-            fn(e, EVENTS).write.format("noop").mode("overwrite").save()
+        for n in names:
+            moments.SECTIONS[n].direct(e, EVENTS).write.format("noop").mode("overwrite").save()
         row["sections_direct"] = round(time.perf_counter() - t0, 2)
         t0 = time.perf_counter()
-        cells = rollup.materialize(rollup.build_cells(e, EVENTS))
-        for fn in rollup.SECTIONS.values():
-            fn(cells, EVENTS).write.format("noop").mode("overwrite").save()
-        row["sections_rollup"] = round(time.perf_counter() - t0, 2)
+        shared = moments.materialize(moments.executive_moments(e, EVENTS))
+        for n in names:
+            moments.section_of(shared, n, EVENTS).write.format("noop").mode("overwrite").save()
+        row["sections_one_scan"] = round(time.perf_counter() - t0, 2)
         out[copies] = row
         print(json.dumps(row), flush=True)
 
