@@ -7,11 +7,18 @@ register, the smallest remaining value per register is kept as a leading-zero co
 probe order, so that small sets band as well as large ones.  ``BANDS`` bands of ``ROWS`` registers retrieve
 candidates; a pair at the threshold 0.85 shares none with probability (1 - 0.85^5)^24 < 1e-6.
 
-Work on a bucket is cut into blocks of ``BLOCK`` members, and pairs of blocks are the units, so a hot bucket is
-spread.  Pairs pass a length bound and the collision-corrected estimate, then are confirmed on the full sets.
-Equal sets are one node from the start.  A first round links members to a few pivots of their bucket and contracts the
-components; the second compares, in the buckets that still hold several components, every remaining pair, so
-no link that could join two components is skipped.
+Equal sets are one node from the start.  Pairs pass a length bound and the collision-corrected estimate, then are confirmed on
+the full sets; work on a bucket is cut into blocks of ``BLOCK`` members, so a hot bucket is spread.
+
+1. Hubs.  Every bucket names up to ``PIVOTS`` members whose registers agree most with those of the others: each block puts forward
+   its best by the most frequent value of each register, and the best of the blocks serve the whole bucket.  Each member meets
+   these only, so pairs grow in proportion to the members, and the original behind a group of near copies links most of them.
+   The components are contracted.
+2. Rest.  In the buckets that still hold several components, shingles that no other member of such buckets has are counted.
+   They cannot be shared, so two sets with p and q shingles left overlap by min(p, q) at most: sets with too few left are out, and
+   so are pairs whose sizes ask for more.  (Copies with edits of their own, too far from their original, are of this kind: they
+   are near each other in the estimate, but not over the threshold.)  Every pair that remains is compared, by pairs of blocks,
+   so no link that could join two components is skipped.
 
 Edge cases: null or empty texts and texts without words have an empty set, link with nothing and keep their own
 id as component; repeated rows share a set; rows of null doc_id never name a component unless all do (then null).
@@ -21,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourwise.llm.common import NOT_SPACE, U, Words, block_pairs, grouped_arrow, longs, mix, parts, staged
@@ -29,7 +36,7 @@ from hourwise.llm.components import components
 
 REGISTERS, BANDS, ROWS, MANTISSA = 120, 24, 5, 10
 BLOCK = 256
-PIVOTS = 8
+PIVOTS = 3
 #: Standard errors that the estimate may fall short; used for sets of at least 64 shingles only.
 SLACK = 5.0
 _PROBES = mix(np.arange(REGISTERS * 512, dtype=np.uint64) + U(77)).reshape(512, REGISTERS) % U(REGISTERS)
@@ -140,70 +147,141 @@ def _explode_bands(batches):
         )
 
 
-def estimate_floor(threshold: float) -> float:
+def estimate_floor(threshold: float, filled: np.ndarray) -> np.ndarray:
     """Matching registers a pair at the threshold keeps but for ``SLACK`` standard errors; corrected for collisions:
-    two different minima agree by chance with probability of about 2^-MANTISSA / 3."""
+    two different minima agree by chance with probability of about 2^-MANTISSA / 3.  Registers that are copies of others
+    (``filled`` are not) tell nothing new, so the error is that of the filled ones."""
     chance = 2.0**-MANTISSA / 3
     share = threshold + (1 - threshold) * chance
-    return REGISTERS * share - SLACK * (REGISTERS * share * (1 - share)) ** 0.5
+    return REGISTERS * (share - SLACK * np.sqrt(share * (1 - share) / np.maximum(filled, 1)))
+
+
+class Members:
+    """Rows of a unit: registers, bucket keys, sizes and components as arrays."""
+
+    def __init__(self, t: pa.Table):
+        self.node = t.column("node").combine_chunks()
+        raw = t.column("regs").combine_chunks()
+        self.regs = np.frombuffer(raw.buffers()[2], dtype=np.uint16)
+        first = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset] // 2
+        self.regs = self.regs[first : first + len(t) * REGISTERS].reshape(len(t), REGISTERS)
+        self.n = t.column("n").to_numpy()
+        # distinct values: filled registers, or a few less
+        self.filled = (np.diff(np.sort(self.regs, axis=1), axis=1) != 0).sum(axis=1) + 1
+
+    def near(self, i: int, js: np.ndarray, percent: int) -> np.ndarray:
+        """Those of ``js`` whose size and estimate allow a link with ``i``."""
+        js = js[100 * np.minimum(self.n[js], self.n[i]) >= percent * np.maximum(self.n[js], self.n[i])]
+        hits = (self.regs[js] == self.regs[i]).sum(axis=1)
+        floor = estimate_floor(percent / 100, np.minimum(self.filled[js], self.filled[i]))
+        return js[(hits >= floor) | (np.minimum(self.n[js], self.n[i]) < 64)]
+
+    def pairs(self, found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch | None:
+        found = [(i, js) for i, js in found if len(js)]
+        if not found:
+            return None
+        a = np.concatenate([np.full(len(js), i) for i, js in found])
+        b = np.concatenate([js for _, js in found])
+        return pa.RecordBatch.from_arrays([self.node.take(pa.array(a)), self.node.take(pa.array(b))], ["a", "b"])
+
+
+def _forward(t: pa.Table) -> pa.RecordBatch:
+    """The members of one block that agree most with it: (bkey, node, regs, n, score)."""
+    m = Members(t)
+    ordered = np.sort(m.regs, axis=0)
+    # the longest run of equal values of each register
+    new = np.vstack([np.ones((1, REGISTERS), dtype=bool), ordered[1:] != ordered[:-1]])
+    rank = np.arange(len(t))[:, None]
+    run = rank - np.maximum.accumulate(np.where(new, rank, 0), axis=0)
+    mode = ordered[run.argmax(axis=0), np.arange(REGISTERS)]
+    score = (m.regs == mode).sum(axis=1)
+    best = pa.array(np.argsort(-score, kind="stable")[:PIVOTS])
+    return pa.RecordBatch.from_arrays(
+        [t.column("bkey").combine_chunks().take(best), m.node.take(best), t.column("regs").combine_chunks().take(best),
+         t.column("n").combine_chunks().take(best), longs(score).take(best)], ["bkey", "node", "regs", "n", "score"])
+
+
+def _with_hubs(percent: int):
+    """Unit: a block of a bucket and the bucket's hubs."""
 
+    def run(t):
+        m = Members(t)
+        hub = t.column("hub").to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(~hub)
+        same = m.node.to_numpy(zero_copy_only=False)
+        return m.pairs([(i, (js := m.near(i, rows, percent))[same[js] != same[i]]) for i in np.flatnonzero(hub).tolist()])
+
+    return run
 
-def _candidates(percent: int, pivots: int | None):
+
+def _rest(percent: int):
     """Unit: two blocks of one bucket. Pairs of different components whose first common band is this bucket's."""
-    floor = estimate_floor(percent / 100)
 
     def run(t):
         bkey, bi, bj = (t.column(i)[0].as_py() for i in range(3))
-        node = t.column("node").to_pylist()
-        n = t.column("n").to_numpy()
-        comp = t.column("comp").to_pylist()
+        m = Members(t)
+        keys = np.stack([bands(r) for r in m.regs])
+        shared = t.column("shared").to_numpy()
+        comp = t.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
         block = t.column("block").to_numpy()
-        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), dtype=np.uint16).reshape(len(node), REGISTERS)
-        keys = np.stack([bands(r) for r in regs])
-        _, cid = np.unique(np.array([c.hex() for c in comp]), return_inverse=True)
-        first = np.array([int.from_bytes(x[:8], "little") for x in node], dtype=np.uint64)
-        order = np.argsort(mix(first ^ np.uint64(bkey & (2**64 - 1))), kind="stable").tolist()
-        rows = [i for i in order if block[i] == bi]
-        if pivots is not None:
-            rows = rows[:pivots]
-        out_a, out_b = [], []
         at_j = np.flatnonzero(block == bj)
         mine = np.uint64(bkey & (2**64 - 1))
-        for done, i in enumerate(rows):
-            js = at_j[cid[at_j] != cid[i]]
-            if bi == bj:
-                before = set(rows[:done]) | {i}
-                js = js[[j not in before for j in js]] if len(js) else js
-            if not len(js):
-                continue
-            js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
-            same = (keys[js] == keys[i]).argmax(axis=1)  # they share this band, so the first common one exists
-            js = js[keys[i][same] == mine]
-            hits = (regs[js] == regs[i]).sum(axis=1)
-            js = js[(hits >= floor) | (np.minimum(n[js], n[i]) < 64)]
-            out_a += [node[i]] * len(js)
-            out_b += [node[j] for j in js]
-        if out_a:
-            return pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
-        return None
+        found = []
+        for i in np.flatnonzero(block == bi).tolist():
+            js = at_j[(at_j > i) & (comp[at_j] != comp[i])] if bi == bj else at_j[comp[at_j] != comp[i]]
+            js = js[(100 + percent) * np.minimum(shared[js], shared[i]) >= percent * (m.n[js] + m.n[i])]
+            if len(js):
+                js = m.near(i, js, percent)
+                same = (keys[js] == keys[i]).argmax(axis=1)  # they share this band, so the first common one exists
+                found.append((i, js[keys[i][same] == mine]))
+        return m.pairs(found)
 
     return run
 
 
-def _units(member: DataFrame, nodes: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """Members of the buckets that hold several components, dealt to pairs of blocks."""
-    if comp is None:
-        m = member.withColumn("comp", F.col("node"))
-    else:
-        m = member.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    size = (
-        m.groupBy("bkey")
-        .agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        .where("lo <> hi")
-        .select("bkey", "members")
+def _sizes(member: DataFrame) -> DataFrame:
+    """Buckets of several components: bkey, members."""
+    size = member.groupBy("bkey").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return size.where("lo <> hi").select("bkey", "members")
+
+
+def _hub_pairs(member: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Candidates of members with the hubs of their buckets."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = member.join(_sizes(member.withColumn("comp", F.col("node"))), "bkey").withColumn(
+        "block", F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int"))
+    rows = staged(dealt.join(nodes, "node").select("bkey", "block", "node", "n", "regs", blocks.alias("blocks")))
+    schema = "bkey long, node binary, regs binary, n long, score long"
+    forward = grouped_arrow(rows.select("bkey", "block", "node", "n", "regs"), ["bkey", "block"], _forward, schema)
+    place = Window.partitionBy("bkey").orderBy(F.desc("score"), "node")
+    hubs = forward.withColumn("place", F.row_number().over(place)).where(F.col("place") <= PIVOTS)
+    # a bucket's hubs go to each of its blocks: PIVOTS rows a block
+    each = rows.groupBy("bkey").agg(F.max("blocks").alias("blocks")).join(hubs, "bkey").withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = rows.select("bkey", "block", "node", "n", "regs", F.lit(False).alias("hub")).unionByName(
+        each.select("bkey", "block", "node", "n", "regs", F.lit(True).alias("hub")))
+    return grouped_arrow(units, ["bkey", "block"], _with_hubs(percent), "a binary, b binary")
+
+
+def _rest_pairs(member: DataFrame, nodes: DataFrame, sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Candidates among the components that are still apart."""
+    m = member.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    m = staged(m.join(_sizes(m).select("bkey"), "bkey", "left_semi"))
+    left = m.select("node").distinct()
+    # shingles of one node only, by node: both aggregates combine in the tasks first
+    single = (
+        sets.join(left, "node").select("node", F.explode("shingles").alias("shingle")).groupBy("shingle")
+        .agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("single"))
+    )
+    info = staged(
+        nodes.join(left, "node", "left_semi").join(single, "node", "left")
+        .withColumn("shared", F.col("n") - F.coalesce("single", F.lit(0))).drop("single")
+        .where(100 * F.col("shared") >= percent * F.col("n"))
     )
-    dealt = block_pairs(m.join(size, "bkey"), "bkey", "node", BLOCK)
-    return dealt.join(nodes, "node").select("bkey", "bi", "bj", "node", "comp", "block", "n", "regs")
+    m = m.join(info.select("node"), "node", "left_semi")
+    dealt = block_pairs(m.join(_sizes(m), "bkey"), "bkey", "node", BLOCK).join(info, "node")
+    units = dealt.select("bkey", "bi", "bj", "node", "comp", "block", "n", "shared", "regs")
+    return grouped_arrow(units, ["bkey", "bi", "bj"], _rest(percent), "a binary, b binary")
 
 
 def _verified(cand: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -235,15 +313,11 @@ def components_of(docs: DataFrame, key: Column | None = None, k: int = 5, percen
         .dropDuplicates(["node"])
     )
     nodes = staged(nodes.join(wanted, "node", "left_semi"))
-    links, comp = None, None
-    for pivots in (PIVOTS, None):
-        cand = grouped_arrow(
-            _units(member, nodes, comp), ["bkey", "bi", "bj"], _candidates(percent, pivots), "a binary, b binary"
-        ).distinct()
-        found = _verified(staged(cand), sets, percent)
-        found = found if links is None else found.unionByName(links)
-        comp = components(found)
-        links = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    found = _verified(staged(_hub_pairs(member, nodes, percent).distinct()), sets, percent)
+    comp = components(found)
+    links = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    rest = _verified(staged(_rest_pairs(member, nodes, sets, comp, percent).distinct()), sets, percent)
+    comp = components(rest.unionByName(links))
     labelled = sketch.select("rk", "doc_id", "n", "node").join(comp, "node", "left")
     return labelled.withColumn("component", F.coalesce("component", "node"))
 

@@ -151,11 +151,17 @@ def _fit(n: int):
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, bytes | None]:
     """(sorted term hashes, the machine) from the labelled documents outside the held-out fold."""
-    y = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
+    y = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("toxic"))
+    text = F.coalesce("text", F.lit(""))
+    digest = F.concat(F.hex(F.xxhash64(F.lit(1), text)), F.hex(F.xxhash64(text, F.lit(2))))
+    all_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), digest.alias("digest"))
+    # label and representative of each distinct text are settled on digests; then the texts move once, to their labels
+    narrow = all_docs.select("doc_id", "digest").where("doc_id is not null").where(~held_out(F.col("doc_id"), 4))
+    # sort-merge at every size: labels grow with the documents
+    chosen = narrow.join(y.hint("merge"), "doc_id").groupBy("digest").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
     train = staged(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-        .where(~held_out(F.col("doc_id"), 4)).join(y.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
-        .groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", F.xxhash64("text").alias("pick"), "text")
+        all_docs.join(chosen.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["digest"])
+        .select("toxic", F.xxhash64("text").alias("pick"), "text")
     )
     totals = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     if len(totals) < 2:
