@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourwise.llm.common import staged
+from hourwise.llm.common import free_names, staged
 
 LEVELS = ("domain", "lang", "source")
 #: Buckets of the order key per leaf and epoch, as hex digits of md5.
@@ -92,13 +92,18 @@ def leaf_budgets(leaves: DataFrame, weights: DataFrame, fraction: float, epochs:
     )
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame, fraction: float = 0.6, epochs: int = 4, seed: int = 17) -> DataFrame:
-    """One row for each time a document is selected: doc_id, domain, lang, source, n_tokens, epoch (from 0)."""
+def mix_sources(docs: DataFrame, weights: DataFrame, fraction: float = 0.6, epochs: int = 4, seed: int = 17, carry: bool = False) -> DataFrame:
+    """One row for each time a document is selected: doc_id, domain, lang, source, n_tokens, epoch (from 0).
+
+    With ``carry`` the text and all other columns of ``docs`` follow; names that are taken get underscores."""
     src = F.coalesce("source", F.lit("-"))
+    others = [c for c in docs.columns if c.lower() not in ("doc_id", "lang", "source")] if carry else []
+    named = dict(zip(others, free_names(["doc_id", *LEVELS, "n_tokens", "epoch"], *others)))
+    packed = [F.struct(*[F.col(f"`{c}`").alias(n) for c, n in named.items()]).alias("carried")] if others else []
     d = staged(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), domain_of(src).alias("domain"), F.coalesce("lang", F.lit("-")).alias("lang"),
-            src.alias("source"), tokens(F.col("text")).alias("n_tokens"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"),
+            src.alias("source"), tokens(F.col("text")).alias("n_tokens"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), *packed,
         )
     )
     leaves = d.where("n_tokens > 0").groupBy(*LEVELS).agg(F.sum("n_tokens").alias("n_tokens"))
@@ -124,5 +129,5 @@ def mix_sources(docs: DataFrame, weights: DataFrame, fraction: float = 0.6, epoc
     dealt = last.join(buckets, [*LEVELS, "bucket"])
     edge = Window.partitionBy(*LEVELS, "bucket").orderBy("ord", "text_md5").rowsBetween(Window.unboundedPreceding, 0)
     boundary = dealt.where("not inside").withColumn("run", F.col("before") + F.sum("n_tokens").over(edge)).where("run <= rest")
-    out = ["doc_id", *LEVELS, "n_tokens", F.col("epoch").cast("int").alias("epoch")]
+    out = ["doc_id", *LEVELS, "n_tokens", F.col("epoch").cast("int").alias("epoch"), *(["carried.*"] if packed else [])]
     return whole.select(*out).unionByName(dealt.where("inside").select(*out)).unionByName(boundary.select(*out))

@@ -156,11 +156,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, bytes | None]:
     digest = F.concat(F.hex(F.xxhash64(F.lit(1), text)), F.hex(F.xxhash64(text, F.lit(2))))
     all_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), digest.alias("digest"))
     # label and representative of each distinct text are settled on digests; then the texts move once, to their labels
-    narrow = all_docs.select("doc_id", "digest").where("doc_id is not null").where(~held_out(F.col("doc_id"), 4))
+    learnt = all_docs.where("doc_id is not null").where(~held_out(F.col("doc_id"), 4))
+    narrow = learnt.select("doc_id", "digest")
     # sort-merge at every size: labels grow with the documents
     chosen = narrow.join(y.hint("merge"), "doc_id").groupBy("digest").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
+    # rows of one doc_id and digest lie together after the join: repeated rows go without another shuffle
     train = staged(
-        all_docs.join(chosen.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["digest"])
+        learnt.join(chosen.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
         .select("toxic", F.xxhash64("text").alias("pick"), "text")
     )
     totals = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
@@ -184,8 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, bytes | None]:
     return terms, rows[0]["model"] if rows else None
 
 
-def score(docs: DataFrame, terms: np.ndarray, model: bytes | None) -> DataFrame:
-    """``docs`` (all columns) with ``llm_score`` as the last column."""
+def score(docs: DataFrame, terms: np.ndarray, model: bytes | None, name: str = "llm_score") -> DataFrame:
+    """``docs`` (all columns) with the score as the last column, ``name``."""
     handle = docs.sparkSession.sparkContext.broadcast((terms.tobytes(), model))
     names = docs.columns
 
@@ -204,9 +206,9 @@ def score(docs: DataFrame, terms: np.ndarray, model: bytes | None) -> DataFrame:
                 row, at = _inputs(b.column("text"), t)
                 p = 1 / (1 + np.exp(-np.clip(m.raw(row, at, n), -30, 30)))
                 p[np.bincount(row, minlength=n) == 0] = 0.0
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(p, pa.float64())], [*names, "llm_score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(p, pa.float64())], [*names, name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", llm_score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{name}` double"
     return docs.mapInArrow(run, schema)
 
 
