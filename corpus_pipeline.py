@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 result as Parquet to the shared folder and reads it back.  All but the last return the columns of ``docs``.
 
 Edge cases: empty tables pass through; null texts are kept by the filters (they are not toxic, contaminated or
-copies of anything) and offer no tokens to the mix; more columns than those of documents are carried along.
+copies of anything) and offer no tokens to the mix; more columns than those of documents are carried along to the end,
+whatever their names (helper columns take names that are not in use, in any case of letters).
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourwise.llm.common import row_key, staged
+from hourwise.llm.common import free_names, row_key, staged
 from hourwise.llm.queries import table
 
 
@@ -21,7 +22,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     from hourwise.llm.toxicity import THRESHOLD, fit, score
 
     terms, model = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, terms, model).where(F.col("llm_score") < THRESHOLD).select(*_names(docs))
+    (name,) = free_names(docs.columns, "score")
+    return score(docs, terms, model, name).where(F.col(f"`{name}`") < THRESHOLD).select(*_names(docs))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +34,13 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rk = row_key(F.col("doc_id"), F.col("text"))
     found = components_of(docs.select("doc_id", "text"), rk).where("n > 0")
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("first"))
-    keep = staged(first.select(F.col("first.rk").alias("llm_rk")))
+    (name,) = free_names(docs.columns, "rk")
+    keep = staged(first.select(F.col("first.rk").alias(name)))
     # white space as minhash has it
     blank = F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "") == ""
     # repeats of a row go before the join, where a hot one is cut down in each task
-    rows = docs.where(~blank).withColumn("llm_rk", rk).dropDuplicates(["llm_rk"])
-    return rows.join(keep, "llm_rk", "left_semi").select(*_names(docs)).unionByName(docs.where(blank))
+    rows = docs.where(~blank).withColumn(name, rk).dropDuplicates([name])
+    return rows.join(keep, name, "left_semi").select(*_names(docs)).unionByName(docs.where(blank))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +48,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     from hourwise.llm.decontaminate import contamination
 
     bad = contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).where("n_hit > 0")
-    keyed = docs.withColumn("llm_rk", row_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(bad.select(F.col("rk").alias("llm_rk")).distinct(), "llm_rk", "left_anti").select(*_names(docs))
+    (name,) = free_names(docs.columns, "rk")
+    keyed = docs.withColumn(name, row_key(F.col("doc_id"), F.col("text")))
+    return keyed.join(bad.select(F.col("rk").alias(name)).distinct(), name, "left_anti").select(*_names(docs))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,11 +64,12 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows selected by the target weights, once for each epoch."""
+    """Rows selected by the target weights, once for each epoch: doc_id, domain, lang, source, n_tokens, epoch, then the text
+    and all other columns."""
     from hourwise.llm.mixing import WEIGHTS, mix_sources
 
     weights = spark.createDataFrame(WEIGHTS, "domain string, lang string, source string, weight double")
-    return mix_sources(docs, weights)
+    return mix_sources(docs, weights, carry=True)
 
 
 def _names(docs: DataFrame) -> list:
