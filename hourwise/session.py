@@ -38,7 +38,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not sc.master.startswith("local") and not configured:
+    if not configured and sc.master != "local" and not sc.master.startswith("local["):  # not local-cluster[...]
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="hourwise-ckpt-"))
     return sc.getCheckpointDir()
