@@ -1,12 +1,14 @@
 """Embedding near-dedup with cross-polytope hashing.
 
 A hash is the nearest vertex (signed axis) of a vector after three rounds of random signs and a fast Hadamard transform;
-``HASHES`` hashes make a bucket of one of ``TABLES`` tables.  Each vector lives in its home bucket of a table and probes
+``HASHES`` hashes make a bucket of one table; the number of tables follows from the dimension and the threshold, so that
+pairs at the threshold are found as often in wide vectors as in narrow ones.  Each vector lives in its home bucket of a table and probes
 ``HASHES`` more, in each of which one hash takes its second nearest vertex.  A pair meets in a bucket that is home to one
 of them and home to or probed by the other, and is verified by its cosine in double precision.
 
 Equal vectors are one node with a multiplicity.  Buckets are cut into blocks of ``BLOCK`` vectors; units are pairs of
-blocks, so no bucket is one task.  A pair that meets in several buckets counts in the first only.  Units return one row
+blocks, so no bucket is one task.  Vectors are hashed once and carry their vertices; from these a unit sees in which bucket a
+pair meets first, and counts it there only.  Units return one row
 for each vector with links: the number of its links there and the smallest vector that it reaches inside the unit, not
 the pairs.
 
@@ -17,55 +19,106 @@ component unless all do.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from hourwise.llm.common import U, block_pairs, grouped_arrow, longs, mix, staged
 from hourwise.llm.components import components
 
+#: Least number of tables, hashes in a bucket, vectors in a block.
 TABLES, HASHES, BLOCK, SEED = 12, 3, 256, 5
+#: Share of the pairs at the threshold that all tables may miss, and the fitted chance that a pair of cosine c meets in one
+#: table of d dimensions (a power of two): MEET * d ** (-SLOPE * (1 - c) / (1 + c)).
+MISS, MEET, SLOPE = 0.02, 0.86, 5.0
+
+
+def _matrix_of(size: int) -> np.ndarray:
+    m = np.ones((1, 1))
+    while len(m) < size:
+        m = np.block([[m, m], [m, -m]])
+    return m
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
+    """Fast transform of the rows, four levels of butterflies at a time."""
     n, d = x.shape
-    h = 1
-    while h < d:
-        x = x.reshape(n, d // (2 * h), 2, h)
-        x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], axis=2).reshape(n, d)
-        h *= 2
-    return x
+    done = 1
+    while done < d:
+        size = min(16, d // done)
+        x = np.matmul(_matrix_of(size), x.reshape(-1, size, done))
+        done *= size
+    return x.reshape(n, d)
+
+
+def _padded(dim: int) -> int:
+    """The power of two that vectors are padded to; in fewer than 32 dimensions random signs give too few rotations."""
+    return 1 << max(5, (dim - 1).bit_length())
+
 
+def tables(dim: int, threshold: float) -> int:
+    """Tables that miss at most ``MISS`` of the pairs at the threshold, from the chance that such a pair meets in one."""
+    meet = MEET * _padded(dim) ** (-SLOPE * (1 - threshold) / (1 + threshold))
+    return max(TABLES, math.ceil(math.log(MISS) / math.log1p(-meet)))
 
-def buckets(x: np.ndarray) -> np.ndarray:
-    """Bucket keys (rows x TABLES x (1 + HASHES)) of unit vectors: the home bucket first, then the probes."""
+
+def vertices(x: np.ndarray, n_tables: int) -> np.ndarray:
+    """The nearest and the second nearest vertex of unit vectors: rows x tables x HASHES x 2."""
     n, d0 = x.shape
-    d = 1 << max(1, (d0 - 1).bit_length())
+    d = _padded(d0)
     x = np.pad(x, ((0, 0), (0, d - d0)))
     rng = np.random.default_rng(SEED)
-    out = np.empty((n, TABLES, 1 + HASHES), dtype=np.uint64)
-    for t in range(TABLES):
-        best, second = [], []
-        for _ in range(HASHES):
+    out = np.empty((n, n_tables, HASHES, 2), dtype=_width(d0))
+    r = np.arange(n)
+    for t in range(n_tables):
+        for h in range(HASHES):
             y = x
             for _ in range(3):
                 y = _hadamard(y * rng.choice([-1.0, 1.0], size=d))
             a = np.abs(y)
-            i = a.argmax(axis=1)
-            r = np.arange(n)
-            best.append(2 * i + (y[r, i] < 0))
-            a[r, i] = -1
-            j = a.argmax(axis=1)
-            second.append(2 * j + (y[r, j] < 0))
-        for probe in range(1 + HASHES):
-            v = np.full(n, d0 * TABLES + t, dtype=np.uint64)
-            for h in range(HASHES):
-                v = mix(v * U(0x9E3779B97F4A7C15) + (second if probe == h + 1 else best)[h].astype(np.uint64))
-            out[:, t, probe] = v
+            for rank in range(2):
+                i = a.argmax(axis=1)
+                out[:, t, h, rank] = 2 * i + (y[r, i] < 0)
+                a[r, i] = -1
+    return out
+
+
+def _width(dim: int) -> str:
+    return "<u2" if dim <= 1 << 15 else "<u4"
+
+
+def buckets(v: np.ndarray, dim: int, probes: bool = True) -> np.ndarray:
+    """Bucket keys (rows x tables x (1 + HASHES)) of ``vertices``: the home bucket first, then the probes, if wanted."""
+    n, n_tables = v.shape[:2]
+    out = np.empty((n, n_tables, 1 + HASHES * probes), dtype=np.uint64)
+    for probe in range(out.shape[2]):
+        k = np.full((n, n_tables), dim << 20, dtype=np.uint64) + np.arange(n_tables, dtype=np.uint64)
+        for h in range(HASHES):
+            k = mix(k * U(0x9E3779B97F4A7C15) + v[:, :, h, int(probe == h + 1)].astype(np.uint64))
+        out[:, :, probe] = k
     return out
 
 
+def _meeting(v: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of rows the first table in which they meet (-1: none), and whether that is in i's home (else in j's)."""
+    first, at_i = np.full(len(i), -1), np.zeros(len(i), dtype=bool)
+    for t in range(v.shape[1]):
+        left = np.flatnonzero(first < 0)
+        if not len(left):
+            break
+        a, b = v[i[left], t], v[j[left], t]
+        off = a[:, :, 0] != b[:, :, 0]
+        n_off = off.sum(axis=1)
+        to_i, to_j = ((n_off == 0) | ((n_off == 1) & (off & (x[:, :, 1] == y[:, :, 0])).any(axis=1)) for x, y in ((b, a), (a, b)))
+        met = to_i | to_j
+        first[left[met]], at_i[left[met]] = t, to_i[met]
+    return first, at_i
+
+
 def _matrix(col) -> np.ndarray:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
@@ -73,17 +126,35 @@ def _matrix(col) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _sign(threshold: float):
+    """Adds ``sig``, the vertices of each vector."""
+
+    def run(batches):
+        for b in batches:
+            size = b.column("dim").to_numpy()
+            for d in np.unique(size):
+                some = b.take(pa.array(np.flatnonzero(size == d)))
+                v = vertices(_matrix(some.column("embedding")), tables(int(d), threshold))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([x.tobytes() for x in v], pa.binary())], [*some.schema.names, "sig"])
+
+    return run
+
+
+def _signatures(col, dim: int) -> np.ndarray:
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return np.frombuffer(b"".join(col.to_pylist()), dtype=_width(dim)).reshape(len(col), -1, HASHES, 2)
+
+
 def _keys(batches):
     for b in batches:
         size = b.column("dim").to_numpy()
         for d in np.unique(size):
             at = pa.array(np.flatnonzero(size == d))
-            k = buckets(_matrix(b.column("embedding").take(at)))
-            n = TABLES * (1 + HASHES)
+            k = buckets(_signatures(b.column("sig").take(at), int(d)), int(d))
             home = np.zeros(k.shape, dtype=bool)
             home[:, :, 0] = True
             yield pa.RecordBatch.from_arrays(
-                [longs(k.reshape(-1)), pa.array(home.reshape(-1)), b.column("node").take(pa.array(np.repeat(at.to_numpy(), n)))],
+                [longs(k.reshape(-1)), pa.array(home.reshape(-1)), b.column("node").take(pa.array(np.repeat(at.to_numpy(), k[0].size)))],
                 ["bkey", "home", "node"],
             )
 
@@ -102,16 +173,12 @@ def _compare(threshold: float):
         i, j = i[ok], j[ok]
         if not len(i):
             return None
-        # the first table, and in it i's home before j's, in which the pair meets
-        used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-        k = buckets(x[used])
-        a, b = k[back[: len(i)]], k[back[len(i) :]]
-        one = (a[:, :, :1] == b).any(axis=2)
-        two = (b[:, :, :1] == a).any(axis=2)
-        first = (one | two).argmax(axis=1)
-        r = np.arange(len(i))
-        where = np.where(one[r, first], a[r, first, 0], b[r, first, 0])
-        keep = (one | two).any(axis=1) & (where == np.uint64(bkey & (2**64 - 1)))
+        # a pair counts in the first table in which it meets, and there in i's home before j's
+        dim = int(t.column("dim")[0].as_py())
+        v = _signatures(t.column("sig"), dim)
+        home = buckets(v, dim, probes=False)[:, :, 0]
+        first, at_i = _meeting(v, i, j)
+        keep = (first >= 0) & (home[np.where(at_i, i, j), first] == np.uint64(bkey & (2**64 - 1)))
         i, j = i[keep], j[keep]
         if not len(i):
             return None
@@ -144,16 +211,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     )
     key = F.concat(F.hex(F.xxhash64(F.lit(1), e)), F.hex(F.xxhash64(e, F.lit(2))))
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").withColumn("node", F.when(fine, key))
-    nodes = staged(
+    distinct = (
         v.where("node is not null").groupBy("node")
         .agg(F.first("embedding").alias("embedding"), F.count("*").alias("mult")).withColumn("dim", F.size("embedding"))
     )
-    member = staged(nodes.select("node", "embedding", "dim").mapInArrow(_keys, "bkey long, home boolean, node string"))
+    nodes = staged(distinct.mapInArrow(_sign(threshold), StructType([*distinct.schema.fields, StructField("sig", BinaryType())])))
+    member = staged(nodes.select("node", "dim", "sig").mapInArrow(_keys, "bkey long, home boolean, node string"))
     size = member.groupBy("bkey").agg(F.count("*").alias("members"), F.max("home").alias("any")).where("members > 1 and any")
     units = block_pairs(member.join(size.select("bkey", "members"), "bkey"), "bkey", "node", BLOCK).join(nodes, "node")
     found = staged(
         grouped_arrow(
-            units.select("bkey", "bi", "bj", "block", "home", "node", "mult", "embedding"), ["bkey", "bi", "bj"],
+            units.select("bkey", "bi", "bj", "block", "home", "node", "mult", "dim", "sig", "embedding"), ["bkey", "bi", "bj"],
             _compare(threshold), "node string, links long, root string",
         )
     )
