@@ -10,7 +10,8 @@ its lower-cased (A-Z) bytes and an end byte 0, after DEPTH bytes 0; its score is
 
 All on the cluster.  Documents are dealt to blocks of about ``BLOCK`` bytes by a hash.  A block reports its distinct byte
 strings of DEPTH + 1 and its distinct words, with their counts in training documents; sums over blocks are the corpus
-statistics.  The tree is cut at depth ROOT: subtrees (all strings that share their nearest ROOT context bytes) are dealt to
+statistics.  Equal rows are merged batch by batch before they are dealt, so a row that is repeated often reaches its block a
+few times only; it counts, and is returned, as often as it stands in the input.  The tree is cut at depth ROOT: subtrees (all strings that share their nearest ROOT context bytes) are dealt to
 buckets of about KEYS strings, each bucket works its levels up to the roots, the levels above them (at most 256^ROOT
 contexts of one decision, whatever the corpus) are worked decision by decision, and what these give the roots goes back
 down the subtrees.  Each block gets back the values of what it reported, and looks its positions up.  Nothing corpus-sized
@@ -69,12 +70,21 @@ def _sums(keys: list[np.ndarray], train: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 def _distinct(key: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and their counts in training rows."""
+    """Distinct keys and their counts in training rows, which ``train`` repeats so many times."""
+    if train.max(initial=0) > 1:
+        return _sums([key], [train])
     tagged = (key << U(1)) | train.astype(np.uint64)
     v, c = np.unique(tagged, return_counts=True)
     return _sums([v >> U(1)], [np.where(v & U(1), c, 0).astype(np.int64)])
 
 
+def _merged(batches):
+    """Equal rows of a batch as one row with ``times``."""
+    for b in batches:
+        t = pa.Table.from_batches([b]).group_by(b.schema.names, use_threads=False).aggregate([([], "count_all")])
+        yield from t.select([*b.schema.names, "count_all"]).rename_columns([*b.schema.names, "times"]).to_batches()
+
+
 def _report(batches):
     """(kind, key, block, train) of each block; blocks lie side by side."""
     block, got = None, {0: ([], []), 1: ([], [])}
@@ -99,12 +109,13 @@ def _report(batches):
             if block is not None and ids[a] != block:
                 yield from flush()
             block = int(ids[a])
-            learn = ~np.asarray(b.column("held_out").to_numpy(zero_copy_only=False), dtype=bool)
+            held = np.asarray(b.column("held_out").to_numpy(zero_copy_only=False), dtype=bool)
+            learn = np.where(held, 0, b.column("times").to_numpy()).astype(np.int64)
             row, key = grams(b.column("text"))
             k, t = _distinct(key, learn[row])
             got[0][0].append(k), got[0][1].append(t)
             w = Words(b.column("text"), NOT_SPACE)
-            v, c = _sums([np.concatenate([w.hash, np.full(len(learn), END, np.uint64)])], [np.concatenate([learn[w.row], learn]).astype(np.int64)])
+            v, c = _sums([np.concatenate([w.hash, np.full(len(learn), END, np.uint64)])], [np.concatenate([learn[w.row], learn])])
             got[1][0].append(v), got[1][1].append(c)
             for k, t in got.values():
                 if sum(map(len, k[1:])) > max(PENDING, len(k[0])):  # [0] holds what is merged
@@ -247,8 +258,8 @@ def _score(total: int, kinds: int):
             n_known = np.bincount(w.row, c > 0, len(b)) + (end > 0)
             out.append(pa.record_batch(
                 [b.column("doc_id"), b.column("held_out"), longs(w.count + 1), longs(n_known), longs(np.full(len(b), total)),
-                 pa.array(base), pa.array(score)],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                 pa.array(base), pa.array(score), b.column("times")],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "times"],
             ))
         return pa.Table.from_batches(out, _ARROW)
 
@@ -256,8 +267,8 @@ def _score(total: int, kinds: int):
 
 
 _ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                    ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+                    ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("times", pa.int64())])
+_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, times long"
 
 
 def score_texts(docs: DataFrame, folds: int = 7) -> DataFrame:
@@ -268,6 +279,7 @@ def score_texts(docs: DataFrame, folds: int = 7) -> DataFrame:
     d = text.withColumn("held_out", held_out(F.col("doc_id"), folds)).withColumn(
         "block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     )
+    d = d.mapInArrow(_merged, "doc_id long, text string, held_out boolean, block int, times long")
     seen = staged(
         d.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(_report, "kind int, key long, block int, train long")
     )
@@ -277,7 +289,9 @@ def score_texts(docs: DataFrame, folds: int = 7) -> DataFrame:
     size = words.agg(F.coalesce(F.sum("value"), F.lit(0.0)).cast("long"), F.count(F.expr("if(value > 0, 1, null)"))).first()
     values = staged(byte_scores(keys)).withColumn("kind", F.lit(0)).unionByName(words.withColumn("kind", F.lit(1)))
     known = staged(seen.select("kind", "key", "block").join(values, ["kind", "key"]))
-    return (
+    scored = (
         d.groupBy("block").cogroup(known.select("block", "kind", "key", "value").groupBy("block"))
         .applyInArrow(_score(size[0], size[1]), _SCHEMA)
     )
+    each = scored.withColumn("copy", F.explode(F.expr("array_repeat(0, int(times))")))  # a batch's rows at most
+    return each.drop("copy", "times")
