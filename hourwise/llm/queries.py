@@ -70,9 +70,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from hourwise.llm.licenses import TEMPLATES, scan
+    from hourwise.llm.licenses import catalogue, scan
 
-    return scan(table(spark, sf_dir, "documents"), spark.createDataFrame(TEMPLATES, "license string, text string"))
+    return scan(table(spark, sf_dir, "documents"), catalogue(spark))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

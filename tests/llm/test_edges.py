@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hourwise.llm import ctw, decontaminate, embeddings, licenses, minhash, mixing, pii, toxicity, urlfilter
+from hourwise.llm.license_texts import CATALOGUE
 
 LONG = " ".join(f"w{i % 997}" for i in range(30_000))
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
@@ -67,20 +68,51 @@ def test_mixing(spark, docs):
         assert bool(total) == bool(docs.count())
 
 
-def test_licenses(spark, docs):
-    tpl = spark.createDataFrame(licenses.TEMPLATES, "license string, text string")
-    got = sorted((r.doc_id or 0, r.licenses) for r in licenses.scan(docs, tpl).collect())
+def brute_licenses(text, templates=CATALOGUE):
+    """Names, sorted and joined, by comparison with all templates."""
     word = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
 
     def shingles(t):
         w = word.findall((t or "").translate(LOW))
         return set(zip(w, w[1:], w[2:]))
 
-    def brute(t):
-        return ",".join(sorted(n for n, x in licenses.TEMPLATES if len(shingles(x) & shingles(t)) >= 0.8 * len(shingles(x))))
+    held, share = shingles(text), defaultdict(list)
+    for name, x, least, family in templates:
+        if (of := shingles(x)) and (c := len(of & held) / len(of)) >= least:
+            share[family].append((c, name))
+    return ",".join(sorted(n for found in share.values() for c, n in found if c == max(found)[0]))
+
 
-    assert got == sorted((i or 0, brute(t)) for i, t, _, _ in TEXTS if docs.count())
+def test_licenses(spark, docs):
+    tpl = licenses.catalogue(spark)
+    got = sorted((r.doc_id or 0, r.licenses) for r in licenses.scan(docs, tpl).collect())
+    assert got == sorted((i or 0, brute_licenses(t)) for i, t, _, _ in TEXTS if docs.count())
     assert licenses.scan(docs, tpl.limit(0)).where("n_licenses > 0").count() == 0
+    # without thresholds and families of their own; a template without text or words is passed over
+    plain = tpl.select("license", "text").unionByName(spark.createDataFrame([("none", None), ("two", "a b")], "license string, text string"))
+    got = sorted((r.doc_id or 0, r.licenses) for r in licenses.scan(docs, plain).collect())
+    alone = [(n, t, 0.8, n) for n, t, _, _ in CATALOGUE]
+    assert got == sorted((i or 0, brute_licenses(t, alone)) for i, t, _, _ in TEXTS if docs.count())
+
+
+def test_every_license_of_the_catalogue(spark, monkeypatch):
+    """Each template inside other words at every place in a window, whole and with one word in 25 replaced."""
+    rng, rows = np.random.default_rng(3), []
+    for n, (name, text, _, _) in enumerate(CATALOGUE):
+        for shift in range(licenses.STRIDE):
+            for edited in (False, True):
+                w = text.split()
+                for j in rng.choice(len(w), len(w) // 25, replace=False) if edited else ():
+                    w[j] = "EDITED"
+                rows.append((len(rows), " ".join([*(f"p{i}" for i in range(shift + 9)), *w, *(f"q{i}" for i in range(9))])))
+    d = spark.createDataFrame([*rows, (10**6, " ".join(t for _, t, _, _ in CATALOGUE))], "doc_id long, text string").repartition(8)
+    want = {i: brute_licenses(t) for i, t in d.collect()}
+    assert {r.doc_id: r.licenses for r in licenses.scan(d, licenses.catalogue(spark)).collect()} == want
+    whole = {want[i] for i in range(0, len(rows), 2)}
+    assert all(any(name in w.split(",") for w in whole) for name, _, _, _ in CATALOGUE)
+    # past the limit of the broadcast the same rows come by shuffles
+    monkeypatch.setattr(licenses, "INDEX_ROWS", 0)
+    assert {r.doc_id: r.licenses for r in licenses.scan(d, licenses.catalogue(spark)).collect()} == want
 
 
 def brute_ctw(rows, folds=7):
