@@ -8,14 +8,15 @@ lambda = own / (own + children).  Prediction mixes the KT estimates (n1 + 1/2) /
 weights along the context; where a deeper context never occurred, the mixture ends at the last one that did.  A text is
 its lower-cased (A-Z) bytes and an end byte 0, after DEPTH bytes 0; its score is the log10 probability of that.
 
-All on the cluster.  Documents are dealt to blocks of about ``BLOCK`` bytes by a hash.  A block reports its distinct byte
+All on the cluster.  Documents are dealt to blocks of about ``BLOCK`` bytes by a hash, one block a partition.  A block reports its distinct byte
 strings of DEPTH + 1 and its distinct words, with their counts in training documents; sums over blocks are the corpus
 statistics.  Equal rows are merged batch by batch before they are dealt, so a row that is repeated often reaches its block a
 few times only; it counts, and is returned, as often as it stands in the input.  The tree is cut at depth ROOT: subtrees (all strings that share their nearest ROOT context bytes) are dealt to
 buckets of about KEYS strings, each bucket works its levels up to the roots, the levels above them (at most 256^ROOT
 contexts of one decision, whatever the corpus) are worked decision by decision, and what these give the roots goes back
-down the subtrees.  Each block gets back the values of what it reported, and looks its positions up.  Nothing corpus-sized
-passes through the driver or is broadcast; no counts are pruned.
+down the subtrees.  Each block gets back the values of what it reported, ahead of its texts in one sorted stream: the
+texts are looked up slice by slice as they come, so a task holds the values and one batch of texts, not the block.  Nothing
+corpus-sized passes through the driver or is broadcast; no counts are pruned.
 
 The base score's words are without white space; a word is known by its 64-bit hash.
 
@@ -44,6 +45,8 @@ PENDING = 1 << 21
 SLICE = 1 << 20
 #: The end token's key among the words.
 END = 0x0E4D
+#: Kinds of a text in the stream that is scored; 0 and 1 are the values of byte strings and words.
+TRAIN, HELD_OUT = 2, 3
 
 
 def grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,9 +65,15 @@ def grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sums(keys: list[np.ndarray], train: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their sums; the lists are emptied, so that their arrays go as soon as they are joined."""
     k = np.concatenate(keys)
+    keys.clear()
     order = np.argsort(k, kind="stable")
-    k, t = k[order], np.concatenate(train)[order]
+    k = k[order]
+    t = np.concatenate(train)
+    train.clear()
+    t = t[order]
+    del order
     at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
     return k[at], np.add.reduceat(t, at) if len(at) else t
 
@@ -99,7 +108,6 @@ def _report(batches):
                         [pa.array(np.full(z - a, kind, np.int32)), longs(key[a:z]), pa.array(np.full(z - a, block, np.int32)), longs(train[a:z])],
                         ["kind", "key", "block", "train"],
                     )
-            k.clear(), t.clear()
 
     for part in parts(batches, limit=SLICE):
         ids = part.column("block").to_numpy()
@@ -119,8 +127,8 @@ def _report(batches):
             got[1][0].append(v), got[1][1].append(c)
             for k, t in got.values():
                 if sum(map(len, k[1:])) > max(PENDING, len(k[0])):  # [0] holds what is merged
-                    merged = _sums(k, t)
-                    k[:], t[:] = [merged[0]], [merged[1]]
+                    for kept, merged in zip((k, t), _sums(k, t)):
+                        kept.append(merged)
     yield from flush()
 
 
@@ -178,14 +186,12 @@ def _down(levels: list[Level], given: tuple, below: Level | None = None) -> tupl
     return given
 
 
-def _leaves(key: np.ndarray, count: np.ndarray) -> tuple[list[Level], np.ndarray, np.ndarray]:
-    """Levels ROOT to DEPTH of whole subtrees; eight decisions a key: places in the deepest level, and bits taken."""
-    byte, context = key & U(255), key & ~U(255)
-    step = np.stack([context | U(1 << j) | (byte >> U(8 - j)) for j in range(8)], axis=1).ravel()
-    bit = np.stack([(byte >> U(7 - j)) & U(1) for j in range(8)], axis=1).ravel().astype(bool)
-    node, at = np.unique(step, return_inverse=True)
-    times = np.repeat(count, 8)
-    n = np.stack([np.bincount(at, np.where(bit == b, times, 0), len(node)) for b in (False, True)])
+def _leaves(key: np.ndarray, count: np.ndarray, j: int) -> tuple[list[Level], np.ndarray, np.ndarray]:
+    """Levels ROOT to DEPTH of whole subtrees, for the keys' decisions number ``j`` of eight, whose trees share no node with
+    the others': each key's place in the deepest level, and the bit taken."""
+    bit = (key >> U(7 - j) & U(1)).astype(bool)
+    node, at = np.unique(key & ~U(255) | U(1 << j) | (key & U(255)) >> U(8 - j), return_inverse=True)
+    n = np.stack([np.bincount(at, np.where(bit == b, count, 0), len(node)) for b in (False, True)])
     return _levels(node, n, _log_kt(n), ROOT, DEPTH), at, bit
 
 
@@ -195,9 +201,13 @@ def _uints(t, name: str) -> np.ndarray:
 
 def _roots(t):
     """The nodes at depth ROOT of a bucket of subtrees."""
-    top = _leaves(_uints(t, "key"), t.column("n").to_numpy())[0][0]
-    columns = [pa.array((top.node & U(255)).astype(np.int32)), longs(top.node), longs(top.n[0]), longs(top.n[1]), pa.array(top.lw)]
-    return pa.RecordBatch.from_arrays(columns, ["decision", "node", "n0", "n1", "lw"])
+    key, count = _uints(t, "key"), t.column("n").to_numpy()
+    tops = []
+    for j in range(8):
+        top = _leaves(key, count, j)[0][0]
+        columns = [pa.array((top.node & U(255)).astype(np.int32)), longs(top.node), longs(top.n[0]), longs(top.n[1]), pa.array(top.lw)]
+        tops.append(pa.RecordBatch.from_arrays(columns, ["decision", "node", "n0", "n1", "lw"]))
+    return pa.concat_batches(tops)
 
 
 def _upper(t):
@@ -213,13 +223,16 @@ def _upper(t):
 
 def _bytes(bucket, keys, roots):
     """(key, value): log10 probability of the key's byte after its context, for a bucket of subtrees."""
-    key = _uints(keys, "key")
-    levels, at, bit = _leaves(key, keys.column("n").to_numpy())
-    order = np.argsort(_uints(roots, "node"))
-    given = tuple(roots.column(c).to_numpy()[order] for c in ("mixed", "left", "p"))
-    p = _down(levels, given)[2][at]
-    value = np.log10(np.where(bit, p, 1 - p)).reshape(-1, 8).sum(axis=1)
-    return pa.table([longs(key), pa.array(value)], ["key", "value"])
+    key, count = _uints(keys, "key"), keys.column("n").to_numpy()
+    node = _uints(roots, "node")
+    value = np.empty((len(key), 8))
+    for j in range(8):
+        levels, at, bit = _leaves(key, count, j)
+        mine = np.flatnonzero((node & U(255)) >> U(j) == 1)
+        order = mine[np.argsort(node[mine])]
+        p = _down(levels, tuple(roots.column(c).to_numpy()[order] for c in ("mixed", "left", "p")))[2][at]
+        value[:, j] = np.log10(np.where(bit, p, 1 - p))
+    return pa.table([longs(key), pa.array(value.sum(axis=1))], ["key", "value"])
 
 
 def byte_scores(keys: DataFrame) -> DataFrame:
@@ -236,38 +249,62 @@ def byte_scores(keys: DataFrame) -> DataFrame:
     return dealt.groupBy("bucket").cogroup(top.groupBy("bucket")).applyInArrow(_bytes, "key long, value double")
 
 
+class Values:
+    """What a block reported, by key: gathered as it comes, sorted when it is first looked up."""
+
+    def __init__(self):
+        self.keys, self.values = [np.zeros(0, np.uint64)], [np.zeros(0)]
+
+    def add(self, key: np.ndarray, value: np.ndarray) -> None:
+        self.keys.append(key.copy()), self.values.append(value.copy())  # a view would keep its whole batch
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        if len(self.keys) > 1:
+            k, v = np.concatenate(self.keys), np.concatenate(self.values)
+            self.keys.clear(), self.values.clear()
+            order = np.argsort(k)
+            self.keys, self.values = [k[order]], [v[order]]
+        return self.values[0][np.searchsorted(self.keys[0], key)] if len(key) else np.zeros(0)
+
+
 def _score(total: int, kinds: int):
-    def run(key, docs, known):
-        kind = known.column("kind").to_numpy()
-        table = []
-        for k in (0, 1):
-            at = np.flatnonzero(kind == k)
-            keys = known.column("key").to_numpy()[at].view(np.uint64)
-            order = np.argsort(keys)
-            table.append((keys[order], known.column("value").to_numpy()[at][order]))
-        out = []
-        for b in parts(docs.to_batches(), limit=SLICE):
-            row, g = grams(b.column("text"))
-            order = np.argsort(g)  # looked up in order, so that the table is read in order
-            score = np.bincount(row[order], table[0][1][np.searchsorted(table[0][0], g[order])], len(b))
-            w = Words(b.column("text"), NOT_SPACE)
-            end = table[1][1][np.searchsorted(table[1][0], U(END))]
-            c = table[1][1][np.searchsorted(table[1][0], w.hash)] if len(w.hash) else np.zeros(0)
-            log = np.log10((np.append(c, end) + 1) / (total + kinds + 1))
-            base = np.bincount(w.row, log[:-1], len(b)) + log[-1]
-            n_known = np.bincount(w.row, c > 0, len(b)) + (end > 0)
-            out.append(pa.record_batch(
-                [b.column("doc_id"), b.column("held_out"), longs(w.count + 1), longs(n_known), longs(np.full(len(b), total)),
-                 pa.array(base), pa.array(score), b.column("times")],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "times"],
-            ))
-        return pa.Table.from_batches(out, _ARROW)
+    """Scores from batches in which each block's values (kinds 0 and 1) stand before its texts, which are not held."""
+
+    def score(b: pa.RecordBatch, byte: Values, word: Values) -> pa.RecordBatch:
+        row, g = grams(b.column("text"))
+        order = np.argsort(g)  # looked up in order, so that the table is read in order
+        score = np.bincount(row[order], byte.of(g[order]), len(b))
+        w = Words(b.column("text"), NOT_SPACE)
+        end = word.of(np.array([END], np.uint64))[0]
+        c = word.of(w.hash)
+        log = np.log10((np.append(c, end) + 1) / (total + kinds + 1))
+        base = np.bincount(w.row, log[:-1], len(b)) + log[-1]
+        n_known = np.bincount(w.row, c > 0, len(b)) + (end > 0)
+        return pa.RecordBatch.from_arrays(
+            [b.column("key"), pa.array(b.column("kind").to_numpy() == HELD_OUT), longs(w.count + 1), longs(n_known),
+             longs(np.full(len(b), total)), pa.array(base), pa.array(score), longs(b.column("value").to_numpy())],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "times"],
+        )
+
+    def run(batches):
+        block = None
+        for b in batches:
+            ids, kind = b.column("block").to_numpy(), b.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(ids) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(ids)]
+            for a, z in zip(cuts, cuts[1:]):
+                if a == z:
+                    continue
+                if block != ids[a]:
+                    block, values = ids[a], (Values(), Values())
+                part = b.slice(a, z - a)
+                if kind[a] < TRAIN:
+                    values[kind[a]].add(part.column("key").to_numpy().view(np.uint64), part.column("value").to_numpy())
+                else:
+                    yield from (score(p, *values) for p in parts([part], limit=SLICE))
 
     return run
 
 
-_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                    ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("times", pa.int64())])
 _SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, times long"
 
 
@@ -281,7 +318,7 @@ def score_texts(docs: DataFrame, folds: int = 7) -> DataFrame:
     )
     d = d.mapInArrow(_merged, "doc_id long, text string, held_out boolean, block int, times long")
     seen = staged(
-        d.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(_report, "kind int, key long, block int, train long")
+        d.repartitionById(blocks, "block").mapInArrow(_report, "kind int, key long, block int, train long")
     )
     totals = seen.groupBy("kind", "key").agg(F.sum("train").alias("n"))
     keys = staged(totals.where("kind = 0").select("key", "n"))
@@ -289,9 +326,14 @@ def score_texts(docs: DataFrame, folds: int = 7) -> DataFrame:
     size = words.agg(F.coalesce(F.sum("value"), F.lit(0.0)).cast("long"), F.count(F.expr("if(value > 0, 1, null)"))).first()
     values = staged(byte_scores(keys)).withColumn("kind", F.lit(0)).unionByName(words.withColumn("kind", F.lit(1)))
     known = staged(seen.select("kind", "key", "block").join(values, ["kind", "key"]))
+    # one stream a block, the values first: texts are scored as they come, so a task holds a block's values and a slice of text
+    texts = d.select(
+        "block", F.when(F.col("held_out"), HELD_OUT).otherwise(TRAIN).alias("kind"), F.col("doc_id").alias("key"),
+        F.col("times").cast("double").alias("value"), "text",
+    )
+    stream = known.select("block", "kind", "key", "value", F.lit(None).cast("string").alias("text")).unionByName(texts)
     scored = (
-        d.groupBy("block").cogroup(known.select("block", "kind", "key", "value").groupBy("block"))
-        .applyInArrow(_score(size[0], size[1]), _SCHEMA)
+        stream.repartitionById(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(_score(size[0], size[1]), _SCHEMA)
     )
     each = scored.withColumn("copy", F.explode(F.expr("array_repeat(0, int(times))")))  # a batch's rows at most
     return each.drop("copy", "times")

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -78,3 +79,73 @@ def test_scores_do_not_depend_on_how_rows_are_dealt(spark):
     many = spark.createDataFrame(rows, FIELDS).repartition(9)
     a, b = (sorted((r.doc_id, r.score) for r in ctw.score_texts(d).collect()) for d in (one, many))
     assert [x[0] for x in a] == [x[0] for x in b] and [x[1] for x in a] == pytest.approx([x[1] for x in b], rel=1e-12)
+
+
+def test_texts_are_scored_as_they_come():
+    """A task holds its block's values, not its texts: each batch of texts is scored before the next one is read."""
+    texts = ["a b", "b", None, ""]
+    train = pa.RecordBatch.from_arrays(
+        [pa.array([1, 2, 3, None], pa.int64()), pa.array(texts), pa.array([False] * 4), pa.array([5] * 4, pa.int32()), pa.array([1] * 4)],
+        ["doc_id", "text", "held_out", "block", "times"],
+    )
+    names = ["block", "kind", "key", "value", "text"]
+    seen = list(ctw._report([train]))
+    values = [pa.RecordBatch.from_arrays([r.column("block"), r.column("kind"), r.column("key"), r.column("train").cast(pa.float64()), pa.nulls(len(r), pa.string())], names) for r in seen]
+    docs = lambda kind: pa.RecordBatch.from_arrays(
+        [pa.array([5] * 4, pa.int32()), pa.array([kind] * 4, pa.int32()), train.column("doc_id"), pa.array([1.0, 1, 1, 3]), train.column("text")], names
+    )
+    read = []
+
+    def stream():
+        for b in [*values, docs(ctw.TRAIN), docs(ctw.TRAIN), docs(ctw.HELD_OUT)]:
+            read.append(len(b))
+            yield b
+
+    out = []
+    for n, b in enumerate(ctw._score(7, 2)(stream())):
+        assert len(read) == len(values) + n + 1
+        out += b.to_pylist()
+    assert [r["doc_id"] for r in out] == [1, 2, 3, None] * 3 and [r["held_out"] for r in out] == [False] * 8 + [True] * 4
+    assert [(r["n_tokens"], r["n_known"], r["times"]) for r in out] == [(3, 3, 1), (2, 2, 1), (1, 1, 1), (1, 1, 3)] * 3
+
+
+def numbered_texts(spark):
+    return spark.createDataFrame([(i, f"Text {i} says word{i % 5} and\t{'more ' * (i % 4)}") for i in range(60)], FIELDS)
+
+
+def test_a_task_has_one_block(spark, monkeypatch):
+    """Two blocks in one task would be sorted together; the blocks here are more than the shuffle partitions."""
+
+    def counted(total, kinds):
+        def run(batches):
+            n = len({x for b in batches for x in b.column("block").to_pylist()})
+            if n:
+                row = dict(doc_id=n, held_out=False, n_tokens=0, n_known=0, train_tokens=0, base_score=0.0, score=0.0, times=1)
+                yield pa.RecordBatch.from_pylist([row])
+
+        return run
+
+    monkeypatch.setattr(ctw, "BLOCK", 300)
+    monkeypatch.setattr(ctw, "_score", counted)
+    blocks = [r.doc_id for r in ctw.score_texts(numbered_texts(spark)).collect()]
+    assert len(blocks) > 12 and set(blocks) == {1}
+
+
+def test_scores_do_not_depend_on_the_blocks(spark, monkeypatch):
+    df = numbered_texts(spark)
+    one = sorted(map(tuple, ctw.score_texts(df).collect()))
+    monkeypatch.setattr(ctw, "BLOCK", 300)
+    many = sorted(map(tuple, ctw.score_texts(df).collect()))
+    assert [r[:5] for r in one] == [r[:5] for r in many]
+    assert [r[5:] for r in many] == [pytest.approx(r[5:], rel=1e-12) for r in one]
+
+
+def test_a_decision_at_a_time_covers_all_eight():
+    """The decisions of one place in the byte share no node with the others: together they hold each key eight times."""
+    key = ctw.grams(pa.array(["some text to be split", "Some other text"]))[1]
+    key, count = ctw._sums([key], [np.ones(len(key), np.int64)])
+    nodes = [ctw._leaves(key, count, j)[0] for j in range(8)]
+    for level in range(ctw.DEPTH - ctw.ROOT + 1):
+        all_nodes = np.concatenate([n[level].node for n in nodes])
+        assert len(np.unique(all_nodes)) == len(all_nodes)
+        assert [n[level].n.sum() for n in nodes] == [count.sum()] * 8
