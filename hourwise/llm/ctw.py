@@ -40,9 +40,9 @@ DEPTH, BLOCK = 5, 64 << 20
 #: Depth of the subtrees' roots, and keys in a bucket of subtrees.
 ROOT, KEYS = 3, 1 << 17
 #: Keys that a block gathers at least before it merges them.
-PENDING = 1 << 21
+PENDING = 1 << 19
 #: Text bytes worked at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: The end token's key among the words.
 END = 0x0E4D
 #: Kinds of a text in the stream that is scored; 0 and 1 are the values of byte strings and words.
